@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, token_counts, toxicity, vptree
+from . import bpe, exact_dedup, jaccard_join, packing, pii, secrets, token_counts, toxicity, vptree
 from .shared import fold, table
 
 
@@ -34,12 +34,20 @@ def op7_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.scan_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_vptree, op4_packing, op6_exact_dedup, op7_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_vptree, op4_packing, op6_exact_dedup, op7_bpe, op8_pii, op9_jaccard_join, op10_token_counts)}
 
 
 _OP6 = r"""
