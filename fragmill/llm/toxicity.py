@@ -149,3 +149,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         return {"score": p, "predicted": (p >= 0.3).astype(np.int32)}
 
     return per_text(docs, run, "score double, predicted int", keep)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs whose score is below 0.3, all columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
+
+    def run(texts: list[str]) -> dict[str, list]:
+        return {"_rejected": score(sent.value, [_TERMS.of(t) for t in texts]) >= 0.3}
+
+    return per_text(docs, run, "_rejected boolean", tuple(docs.columns)).where("not _rejected").drop("_rejected")
