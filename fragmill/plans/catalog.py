@@ -18,9 +18,15 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load():
+    from . import chunk_queries, code_queries, dedup_queries, diff_queries, format_queries, placement_queries, planner_queries, validation_queries  # noqa: F401
+
+
 def queries():
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    _load()
     return dict(_SQL)
