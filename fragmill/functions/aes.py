@@ -36,10 +36,9 @@ def key_stream(nonce: Column, key: bytes, blocks: Column) -> Column:
 
 def xor_hex(a: Column, b: Column) -> Column:
     """xor of two hex strings of one length, seven bytes at a time."""
-    parts = F.ceil(F.length(a) / 14).cast("int")
-    number = lambda x, i: F.conv(F.substr(x, i * 14 + 1, F.lit(14)), 16, 10).cast("long")
-    width = lambda i: F.least(F.lit(14), F.length(a) - i * 14)
-    return F.array_join(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.lpad(F.hex(number(a, i).bitwiseXOR(number(b, i))), width(i), F.lit("0"))), "")
+    parts = lambda x: F.regexp_extract_all(x, F.lit("[0-9A-F]{1,14}"), F.lit(0))
+    number = lambda x: F.conv(x, 16, 10).cast("long")
+    return F.array_join(F.transform(F.arrays_zip(parts(a).alias("a"), parts(b).alias("b")), lambda x: F.lpad(F.hex(number(x["a"]).bitwiseXOR(number(x["b"]))), F.length(x["a"]), F.lit("0"))), "")
 
 
 def aes_ctr(data: Column, nonce: Column, key: bytes) -> Column:

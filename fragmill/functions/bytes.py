@@ -119,7 +119,7 @@ def words32(data: Column) -> Column:
     """(position, value) of 4-byte words, big-endian, the last one padded with zeros."""
     count = F.ceil(F.octet_length(data) / 4).cast("int")
     padded = F.rpad(F.hex(data), (count * 8).cast("int"), F.lit("0"))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("word"), F.conv(F.substr(padded, i * 8 + 1, F.lit(8)), 16, 10).cast("long").alias("value")))
+    return F.transform(F.regexp_extract_all(padded, F.lit("[0-9A-F]{8}"), F.lit(0)), lambda x, i: F.struct(i.alias("word"), F.conv(x, 16, 10).cast("long").alias("value")))
 
 
 def adler32(data: Column) -> Column:

@@ -13,9 +13,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, IntegerType, LongType, StringType
 
 
-def _over(kind: str, f: Callable[[bytes], object]):
+def over(kind: DataType, f: Callable[[bytes], object]):
     @F.pandas_udf(kind)
     def run(data: pd.Series) -> pd.Series:
         return data.map(lambda x: None if x is None else f(bytes(x)))
@@ -23,9 +24,9 @@ def _over(kind: str, f: Callable[[bytes], object]):
     return run
 
 
-xxh128 = _over("string", lambda x: xxhash.xxh3_128_hexdigest(x))
-xxh64_low = _over("int", lambda x: xxhash.xxh64_intdigest(x) & 0xFF)
-adler = _over("long", lambda x: zlib.adler32(x))
+xxh128 = over(StringType(), lambda x: xxhash.xxh3_128_hexdigest(x))
+xxh64_low = over(IntegerType(), lambda x: xxhash.xxh64_intdigest(x) & 0xFF)
+adler = over(LongType(), lambda x: zlib.adler32(x))
 
 
 def _crc8(data: bytes) -> int:
@@ -37,7 +38,7 @@ def _crc8(data: bytes) -> int:
     return crc
 
 
-crc8 = _over("int", _crc8)
+crc8 = over(IntegerType(), _crc8)
 
 
 class Router:
@@ -53,10 +54,10 @@ class Router:
         return list(self._codecs)
 
     def compress(self, name: str, data: Column) -> Column:
-        return _over("binary", self._codecs[name.lower()][0])(data)
+        return over(BinaryType(), self._codecs[name.lower()][0])(data)
 
     def decompress(self, name: str, data: Column) -> Column:
-        return _over("binary", self._codecs[name.lower()][1])(data)
+        return over(BinaryType(), self._codecs[name.lower()][1])(data)
 
     def stored(self, name: str, data: Column, compressed: Column) -> Column:
         """What is kept: the smaller of both forms."""

@@ -29,7 +29,7 @@ def ring_recovered(stored: DataFrame, expected: DataFrame) -> DataFrame:
     else holds it.
     """
     here = stored.select("object_id", "frag_idx", F.col("own").alias("_own"))
-    left = stored.join(expected.select("object_id", "frag_idx", "n"), ["object_id", "frag_idx"]).select("object_id", F.pmod(F.col("frag_idx") + 1, "n").cast("int").alias("frag_idx"), F.col("next").alias("_left"))
+    left = stored.select("object_id", "frag_idx", "next").join(expected.select("object_id", "frag_idx", "n"), ["object_id", "frag_idx"]).select("object_id", F.pmod(F.col("frag_idx") + 1, "n").cast("int").alias("frag_idx"), F.col("next").alias("_left"))
     out = expected.join(here, ["object_id", "frag_idx"], "left").join(left, ["object_id", "frag_idx"], "left")
     return out.select(*expected.columns, F.coalesce("_own", "_left").alias("data"), F.when(F.col("_own").isNotNull(), "stored").when(F.col("_left").isNotNull(), "neighbour").otherwise("lost").alias("source"))
 

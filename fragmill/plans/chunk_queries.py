@@ -86,8 +86,8 @@ def fragment_names(spark, sf_dir):
 @register(
     "human_sizes",
     """WITH n AS (SELECT o_orderkey AS object_id, (o_totalprice * 100)::BIGINT AS b FROM orders)
-    SELECT object_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MiB', b / 1048576.0) ELSE printf('%.2f GiB', b / 1073741824.0) END AS iec,
-           CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1000000 THEN printf('%.2f KB', b / 1000.0) WHEN b < 1000000000 THEN printf('%.2f MB', b / 1000000.0) ELSE printf('%.2f GB', b / 1000000000.0) END AS si FROM n""",
+    SELECT object_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KiB', (b * 100 + 512) // 1024 / 100.0) WHEN b < 1073741824 THEN printf('%.2f MiB', (b * 100 + 524288) // 1048576 / 100.0) ELSE printf('%.2f GiB', b / 1073741824.0) END AS iec,
+           CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1000000 THEN printf('%.2f KB', (b * 100 + 500) // 1000 / 100.0) WHEN b < 1000000000 THEN printf('%.2f MB', (b * 100 + 500000) // 1000000 / 100.0) ELSE printf('%.2f GB', b / 1000000000.0) END AS si FROM n""",
 )
 def human_sizes(spark, sf_dir):
     b = F.round(F.col("o_totalprice") * 100).cast("long")
@@ -144,8 +144,8 @@ def object_checksums(spark, sf_dir):
 )
 def dictionary_ngrams(spark, sf_dir):
     """A dictionary of 32 KiB: the 8-byte n-grams that save most.  The limit is the dictionary's size."""
-    o = objects(spark, sf_dir).where(F.octet_length("content") >= 8).select(F.hex("content").alias("x"), F.octet_length("content").alias("n"))
-    g = o.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 8), lambda i: F.substr("x", i * 2 + 1, F.lit(16)))).alias("gram"))
+    o = objects(spark, sf_dir).where(F.octet_length("content") >= 8).select(F.regexp_extract_all(F.hex("content"), F.lit(".."), F.lit(0)).alias("x"))
+    g = o.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("x") - 7), lambda i: F.array_join(F.slice("x", i, F.lit(8)), ""))).alias("gram"))
     counts = g.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 2")
     return counts.withColumn("score", F.col("freq") * 8).orderBy(F.desc("score"), "gram").limit(4096)
 

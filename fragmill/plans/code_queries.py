@@ -24,8 +24,8 @@ def fragments(spark, sf_dir, size=1024):
 
 @register(
     "ring_encode",
-    f"""WITH {_N}, e AS (SELECT object_id, frag_idx, data || coalesce(lead(data) OVER w, first_value(data) OVER w) AS both FROM f WINDOW w AS (PARTITION BY object_id ORDER BY frag_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-    SELECT object_id, frag_idx::INTEGER AS frag_idx, octet_length(both)::INTEGER AS size, sha256(both) AS seal FROM e""",
+    f"""WITH {_N}, e AS (SELECT object_id, frag_idx, data || coalesce(lead(data) OVER w, first_value(data) OVER w) AS pair FROM f WINDOW w AS (PARTITION BY object_id ORDER BY frag_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT object_id, frag_idx::INTEGER AS frag_idx, octet_length(pair)::INTEGER AS size, sha256(pair) AS seal FROM e""",
 )
 def ring_encode(spark, sf_dir):
     e = rings.ring_sealed(rings.ring_encoded(fragments(spark, sf_dir)))

@@ -49,9 +49,6 @@ def common_ends(spark, sf_dir):
     return p.select("pair_id", x.alias("x"), y.alias("y")).select("pair_id", prefix.alias("prefix"), suffix.alias("suffix"))
 
 
-_CHANGE = "CASE WHEN a.text IS NULL THEN 'added' WHEN b.text IS NULL THEN 'removed' ELSE 'changed' END"
-
-
 @register(
     "binary_size_diff",
     "SELECT a.doc_id // 2 AS pair_id, greatest(strlen(b.text) - strlen(a.text), 0)::INTEGER AS added_bytes, greatest(strlen(a.text) - strlen(b.text), 0)::INTEGER AS removed_bytes, CASE WHEN strlen(a.text) > 0 THEN abs(strlen(b.text) - strlen(a.text)) / strlen(a.text) ELSE 0.0 END AS change_ratio FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0",
@@ -124,14 +121,13 @@ def event_props(spark, sf_dir):
 
 @register(
     "side_by_side",
-    """SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS row, l_orderkey, l_linenumber,
-    unnest([NULL, l_linenumber, l_linenumber + 1, NULL, l_linenumber + 2])::INTEGER AS left_no, unnest([NULL, 'same', 'old', NULL, 'end']) AS left,
-    unnest([NULL, 7, NULL, 8, 9])::INTEGER AS right_no, unnest([NULL, 'same', NULL, l_returnflag, 'end']) AS right FROM lineitem""",
+    """SELECT event_id, unnest([0, 1, 2, 3, 4])::INTEGER AS row, unnest([NULL, event_id, event_id + 1, NULL, event_id + 2])::INTEGER AS left_no, unnest([NULL, 'same', 'old', NULL, 'end']) AS left,
+    unnest([NULL, 7, NULL, 8, 9])::INTEGER AS right_no, unnest([NULL, 'same', NULL, event_type, 'end']) AS right FROM events""",
 )
 def side_by_side(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    d = li.select("l_orderkey", "l_linenumber", F.concat(F.lit("@@ -"), F.col("l_linenumber").cast("string"), F.lit(" +7 @@\n same\n-old\n+"), "l_returnflag", F.lit("\n end")).alias("diff"))
-    return diffs.side_by_side(d, ["l_orderkey", "l_linenumber"])
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    d = e.select("event_id", F.concat(F.lit("@@ -"), F.col("event_id").cast("string"), F.lit(" +7 @@\n same\n-old\n+"), "event_type", F.lit("\n end")).alias("diff"))
+    return diffs.side_by_side(d, ["event_id"])
 
 
 @register(

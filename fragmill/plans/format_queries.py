@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import aes, codecs
 from ..functions import bytes as B
@@ -42,7 +44,7 @@ def aes_ctr_roundtrip(spark, sf_dir):
 
 @register("delta_roundtrip")
 def delta_roundtrip(spark, sf_dir):
-    pack, unpack = codecs._over("binary", codecs.xor_delta), codecs._over("binary", codecs.undelta)
+    pack, unpack = codecs.over(BinaryType(), codecs.xor_delta), codecs.over(BinaryType(), codecs.undelta)
     o = objects(spark, sf_dir).withColumn("packed", pack("content"))
     return o.select("object_id", B.digest(F.col("packed")).alias("packed_hash"), (unpack("packed") == F.col("content")).alias("same"))
 
@@ -50,8 +52,6 @@ def delta_roundtrip(spark, sf_dir):
 @register("container_roundtrip")
 def container_roundtrip(spark, sf_dir):
     """Documents as fragment files in memory, parsed as columns: header, slim index, payload."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def made(i: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([container.fragment_file({"original_name": str(a), "file_size": len(b)}, bytes(b), _NONCE, bytes(32) if a % 2 else b"") for a, b in zip(i, c)])

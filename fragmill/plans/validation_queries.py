@@ -57,9 +57,6 @@ def crossval_objects(spark, sf_dir):
     return validation.valid(crossed(spark, sf_dir), ["object_id"])
 
 
-_INDEX = "json_object('page', page_id, 'url', url)::VARCHAR"
-
-
 @register(
     "crossval_index",
     """WITH i AS (SELECT page_id, sha256(url) AS h, sha256(CASE WHEN page_id % 7 = 3 THEN url || '_CORRUPTED' ELSE url END) AS now FROM pages),

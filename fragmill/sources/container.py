@@ -5,6 +5,7 @@ Bytes come through Spark's binaryFile reader, so any file system that Spark read
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -103,8 +104,6 @@ def register(spark: SparkSession) -> None:
 
 def decoded_indexes(documents: DataFrame, column: str = "slim") -> DataFrame:
     """documents with the index's fields as columns; what cannot be read has null ones."""
-    import pandas as pd
-
     @F.pandas_udf("original_hash string, original_name string, file_size long, fragment_count int")
     def read(x: pd.Series) -> pd.DataFrame:
         rows = []

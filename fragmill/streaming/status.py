@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream; `glob` picks them."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).parquet(folder)
+    """Parquet files of a folder as a stream; `glob` picks them.  Watermarks need `ts` with a time zone."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def status_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
