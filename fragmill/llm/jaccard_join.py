@@ -4,12 +4,14 @@ Words give distinct 5-word shingles; two documents link when 100 * intersection
 
 1. One pass takes each document's set size, a digest of its set, two minimum hashes and adds its shingles to a sketch of
    2^20 counters.  Documents with one set are one class, which its smallest id stands for.
-2. Classes that share a minimum hash are dealt into chunks.  In a chunk, documents join groups; a group keeps the union
-   of its members' shingles, a query opens a group only if enough of it lies in that union, and links to the first
-   member near enough.  Groups of several chunks meet again by their first members.  Links so far make clusters.
-3. For exactness every class lists its prefix, rare shingles first by the sketch: near documents share one of them.
-   Shingles that two clusters share name candidates, a document and a group of another cluster, if size and position
-   leave room for a link.  Unions bound the overlap again, and only qualifying groups are opened.
+2. Classes that share both minimum hashes are dealt into chunks.  In a chunk, documents join groups; a group keeps the
+   union of its members' shingles, a query opens a group only if enough of it lies in that union, and links to the first
+   member near enough.  Large groups are dealt twice, and clusters that share one of the hashes meet by a few members.
+   Links so far make clusters.
+3. For exactness every class lists its prefix, rare shingles first by the sketch: near documents share some of them.
+   Shingles that two clusters share name candidates, a document of the smaller cluster and the larger cluster; those
+   remain that share as many prefix shingles as a link of their sizes needs.  Unions of the cluster's groups bound the
+   overlap again, and only qualifying groups are opened.
 4. Links of both rounds make components by label propagation with pointer jumping.
 
 Widely shared passages come last in every prefix, and copies meet as one class or one cluster, so neither lists its
@@ -20,6 +22,7 @@ Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 from .shared import in_blocks, per_text, text_or_empty, written
 
 WORDS, SHARE = 5, 75
-#: Counters of the sketch, bits of a membership map, parts in which both travel, members of a chunk or opened group.
-COUNTERS, BITS, PARTS, CHUNK = 1 << 20, 1 << 22, 64, 64
-REMEMBERED = 400_000
+#: Counters of the sketch, bits of a membership map, parts in which both travel, members of a chunk or opened group, of a
+#: cluster that meet other clusters.
+COUNTERS, BITS, PARTS, CHUNK, DELEGATES = 1 << 20, 1 << 22, 64, 64, 8
+REMEMBERED = 200_000
 _U = np.uint64
 
 
@@ -53,17 +57,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Ascending distinct hashes of a text's shingles; one for the whole of a shorter text, none without words."""
-    w = text.encode("utf-8", "replace").lower().split()  # bytes: lower-cases A-Z, splits at [ \t\n\v\f\r]
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
-    n = min(words, len(w))
-    s = np.full(len(w) - n + 1, n, np.uint64)
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """Ascending distinct hashes of each text's shingles; one for the whole of a shorter text, none without words."""
+    cut = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: lower-cases A-Z, splits at [ \t\n\v\f\r]
+    size = [len(w) for w in cut]
+    h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(cut)), np.uint64, sum(size))
+    full = _rolled(h, words) if len(h) >= words else h[:0]
+    out, at = [], 0
+    for n in size:
+        if n >= words:
+            s = np.sort(full[at : at + n - words + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(_rolled(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n word hashes."""
+    s = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        s = s * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-    return np.unique(mixed(s))
+        s *= _U(0x9E3779B97F4A7C15)
+        s += h[i : len(h) - n + 1 + i]
+    return mixed(s)
 
 
 def linked(x: np.ndarray, y: np.ndarray, share: int = SHARE) -> bool:
@@ -131,7 +148,7 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in in_blocks(texts):
-                sets = [shingles(t, words) for t in texts[s]]
+                sets = shingle_sets(texts[s], words)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((flat & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 least = np.array([(x[0], mixed(x ^ _U(0x51ED270B)).min()) if len(x) else (0, 0) for x in sets], np.uint64).view(np.int64).T
@@ -155,10 +172,10 @@ def _bit(column):
     return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
 
 
-def _sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """id, set of the documents in `need` (id): a bitmap of fixed size spares the others, a join settles the rest.
+def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """need (id, s0, s1, ...) with `set`, the shingles of the documents that have those digests.
 
-    Of an id's texts the one with the least digest counts, as everywhere here.
+    A bitmap of fixed size spares most other documents the cutting, and the join settles the rest.
     """
     spark = docs.sparkSession
     each = BITS // 8 // PARTS
@@ -181,13 +198,11 @@ def _sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
             b = b.filter(pa.array(bits[b.column(1).to_numpy()]))
             texts = b.column(2).to_pylist()
             for s in in_blocks(texts):
-                sets = [shingles(t, words) for t in texts[s]]
+                sets = shingle_sets(texts[s], words)
                 digests = [pa.array(x, pa.int64()) for x in zip(*map(digest, sets))]
-                out = pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *digests, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s0", "s1", "set"])
-                yield out.filter(pa.array([len(x) > 0 for x in sets]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *digests, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s0", "s1", "set"])
 
-    found = rows.mapInArrow(run, "id long, s0 long, s1 long, set binary").join(need, "id", "left_semi")
-    return written(found.groupBy("id").agg(F.min_by("set", F.struct("s0", "s1")).alias("set")), "jaccard-sets")
+    return rows.mapInArrow(run, "id long, s0 long, s1 long, set binary").join(need, ["id", "s0", "s1"])
 
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
@@ -204,76 +219,116 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
             return labels
 
 
-def _chunk_links(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFrame | None:
-    """Links (a, b) among classes that share a minimum hash, from chunks of bounded size."""
-    keys = classes.select("id", "n", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("k0").alias("h")), F.struct(F.lit(1).alias("w"), F.col("k1").alias("h")))).alias("k")).select("id", "n", F.col("k.w").alias("w"), F.col("k.h").alias("h"))
-    many = written(keys.groupBy("w", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-keys")
-    members = written(keys.join(many, ["w", "h"]).select("id", "w", "h", "size"), "jaccard-members")
-    if members.isEmpty():
-        return None
-    sets = _sets_of(docs, members.select("id").distinct(), words)
-    schema = "w int, h long, a long, b long"
+def _linked_in_chunks(docs: DataFrame, members: DataFrame, keys: list[str], words: int, share: int) -> DataFrame:
+    """Links (a, b) within the chunks (keys, chunk) of members (id, s0, s1, keys, chunk)."""
 
     def link(group: pa.Table) -> pa.Table:
-        groups, out = Groups(share), []
-        ids, bytes_ = group["id"].to_pylist(), group["set"].to_pylist()
-        w, h = group["w"][0].as_py(), group["h"][0].as_py()
-        for me, s in sorted(zip(ids, bytes_), key=lambda x: (len(x[1]), x[0])):
-            other = groups.add(me, np.frombuffer(s, np.uint64))
-            out.append((me, other))
-        return pa.table({"w": pa.array([w] * len(out), pa.int32()), "h": pa.array([h] * len(out), pa.int64()), "a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        groups = Groups(share)
+        rows = dict(zip(group["id"].to_pylist(), group["set"].to_pylist()))
+        out = [(me, groups.add(me, np.frombuffer(s, np.uint64))) for me, s in sorted(rows.items(), key=lambda x: (len(x[1]), x[0]))]
+        out = [x for x in out if x[1] is not None]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return written(_with_sets(docs, members, words).groupBy(*keys, "chunk").applyInArrow(link, "a long, b long"), "jaccard-links")
+
 
+def _chunk_links(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFrame | None:
+    """Links (a, b) among classes that share minimum hashes, from chunks of bounded size."""
+    own, keys = classes.select("id", "s0", "s1", "k0", "k1"), ["k0", "k1"]
     found = None
-    for _ in range(6):
-        dealt = members.withColumn("chunk", F.pmod(F.xxhash64("id", "w", "size"), F.ceil(F.col("size") / CHUNK)))
-        linked_ = written(dealt.join(sets, "id").groupBy("w", "h", "chunk").applyInArrow(link, schema), "jaccard-links")
-        found = linked_ if found is None else found.unionByName(linked_)
-        heads = linked_.where("b is null").select(F.col("a").alias("id"), "w", "h")
-        more = heads.join(members.where(F.col("size") > CHUNK).select("w", "h", F.col("size").alias("was")).distinct(), ["w", "h"])
-        sizes = more.groupBy("w", "h").agg(F.count(F.lit(1)).alias("size"), F.max("was").alias("was")).where((F.col("size") > 1) & (F.col("size") < F.col("was")))
-        members = written(more.select("id", "w", "h").join(written(sizes, "jaccard-sizes").select("w", "h", "size"), ["w", "h"]), "jaccard-members")
-        if members.isEmpty():
-            break
-    return found.where("b is not null").select("a", "b")
+    for turn in range(2):  # large groups are dealt twice, so that chunks of one group overlap
+        many = written(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > (CHUNK if turn else 1)), "jaccard-keys")
+        chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / CHUNK))
+        members = written(own.join(many, keys).select("id", "s0", "s1", *keys, chunk.alias("chunk")), "jaccard-members")
+        if not members.isEmpty():
+            links = _linked_in_chunks(docs, members, keys, words, share)
+            found = links if found is None else found.unionByName(links)
+    if found is None:
+        return None
+    # clusters of some size that share one hash meet by a few members each
+    labels = written(own.join(components(found), "id", "left").select("id", "s0", "s1", *keys, F.coalesce("label", "id").alias("label")), "jaccard-labels")
+    for key in keys:
+        sizes = written(labels.groupBy(key, "label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")), "jaccard-sizes")
+        many = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.max("size").alias("most"), F.sum(F.least("size", F.lit(2 * DELEGATES))).alias("all")).where((F.col("labels") > 1) & (F.col("most") >= DELEGATES))
+        sent = (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / DELEGATES)) == 0)
+        chunk = F.pmod(F.xxhash64("id", F.lit(key)), F.ceil(F.col("all") / CHUNK))
+        members = written(labels.join(sizes, [key, "label"]).join(written(many, "jaccard-keys"), key).where(sent).select("id", "s0", "s1", key, chunk.alias("chunk")), "jaccard-members")
+        if not members.isEmpty():
+            found = found.unionByName(_linked_in_chunks(docs, members, [key], words, share))
+    return found
+
+
+def _needed(x: np.ndarray, y: np.ndarray, share: int) -> np.ndarray:
+    """Prefix shingles that sets of these sizes share at least if they link."""
+    both = -(-share * (x + y) // (100 + share))
+    return np.maximum(1, both - np.maximum(-(-share * x // 100), -(-share * y // 100)) + 1)
 
 
 def _candidates(rows: DataFrame, share: int) -> DataFrame:
-    """query, cluster: documents and clusters of other documents that a prefix shingle, size and position let link."""
-
-    def pairs(t: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
-        t = sorted(set(t), key=lambda x: (x[2], x[1]))  # by size, then id
-        c, i, n, p = (np.array(x, np.int64) for x in zip(*t))
-        for j in range(1, len(t)):
-            lo = int(np.searchsorted(n, -(-share * n[j] // 100)))  # shorter ones that are long enough
-            if lo == j:
-                continue
-            x = slice(lo, j)
-            need = -(-share * (n[x] + n[j]) // (100 + share))
-            ok = (c[x] != c[j]) & (1 + np.minimum(n[x] - p[x], n[j] - p[j]) - 1 >= need)
-            for o in np.flatnonzero(ok) + lo:
-                yield int(i[j]), int(c[o])
+    """query, cluster: documents and larger clusters that share as many prefix shingles as some pair of theirs needs.
+
+    rows: token, id, cluster, at (set size and the cluster's number of classes in one number).
+    """
+
+    far = 1 << 40
+
+    def rows_of(x: np.ndarray) -> np.ndarray:
+        """token, id, cluster, set size, rank of the cluster by size."""
+        return np.stack([x[0], x[1], x[2], x[3] >> 24, x[3] & 0xFFFFFF])
+
+    def few(x: np.ndarray, most: int) -> list[np.ndarray]:
+        """Pairs of rows of one token, for tokens of at most `most` rows: all at once, by distance."""
+        out, at = [], np.arange(x.shape[1])
+        for d in range(1, most):
+            at = at[at + d < x.shape[1]]
+            at = at[x[0, at] == x[0, at + d]]
+            if not len(at):
+                break
+            a, b = x[:, at], x[:, at + d]
+            ok = (a[2] != b[2]) & (100 * np.minimum(a[3], b[3]) >= share * np.maximum(a[3], b[3]))
+            a, b = a[:, ok], b[:, ok]
+            swap = (a[4] > b[4]) | (a[4] == b[4]) & (a[2] > b[2])  # the query is of the smaller cluster
+            q, c = np.where(swap, b[1], a[1]), np.where(swap, a[2], b[2])
+            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share)]))
+        return out
+
+    def many(x: np.ndarray) -> Iterator[np.ndarray]:
+        """The same for one token with many rows: documents against clusters."""
+        x = x[:, np.lexsort((x[2], x[4]))]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(x[2])) + 1])
+        of = np.repeat(np.arange(len(starts)), np.diff([*starts, x.shape[1]]))
+        for s in range(0, x.shape[1], 256):
+            n, o = x[3, s : s + 256, None], x[3, None, :]
+            need = np.where(100 * np.minimum(n, o) >= share * np.maximum(n, o), _needed(n, o, share), far)
+            need = np.minimum.reduceat(need, starts, axis=1)
+            q, c = np.nonzero((need < far) & (np.arange(len(starts))[None, :] > of[s : s + 256, None]))
+            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(x: np.ndarray):
-            cut = np.flatnonzero(np.diff(x[0])) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [x.shape[1]]])
-            low, high = np.minimum.reduceat(x[2], starts), np.maximum.reduceat(x[2], starts)
-            out: set[tuple[int, int]] = set()
-            for g in np.flatnonzero(low != high):
-                m = x[:, starts[g] : ends[g]]
-                for pair in pairs(list(zip(m[2].tolist(), m[1].tolist(), (m[3] >> 32).tolist(), (m[3] & 0xFFFFFFFF).tolist()))):
-                    out.add(pair)
-                    if len(out) >= 100_000:
-                        yield from batch(out)
-                        out = set()
-            yield from batch(out)
-
-        def batch(out: set):
-            if out:
-                q, c = zip(*sorted(out))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64())], names=["query", "cluster"])
+            x = rows_of(x)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(x[0])) + 1])
+            mixed_ = np.minimum.reduceat(x[2], starts) != np.maximum.reduceat(x[2], starts)
+            size = np.diff([*starts, x.shape[1]])
+            for g in np.flatnonzero(mixed_ & (size > 64)):
+                for y in many(x[:, starts[g] : starts[g] + size[g]]):
+                    yield from summed(y)
+            x = x[:, np.repeat(mixed_ & (size <= 64), size)]
+            if out := few(x, 65):
+                yield from summed(np.concatenate(out, 1))
+
+        def summed(y: np.ndarray):
+            """query, cluster, n (tokens shared), least (needed)."""
+            if not y.shape[1]:
+                return
+            y = y[:, np.lexsort((y[0], y[2], y[1]))]
+            pair = np.concatenate([[True], (y[1, 1:] != y[1, :-1]) | (y[2, 1:] != y[2, :-1])])
+            token = pair | np.concatenate([[True], y[0, 1:] != y[0, :-1]])
+            starts = np.flatnonzero(pair)
+            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), np.minimum.reduceat(y[3], starts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least"])
 
         for b in batches:
             x = np.stack([b.column(i).to_numpy() for i in range(4)])
@@ -281,16 +336,16 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
                 continue
             held.append(x)
             last = x[0, -1]
-            if x[0, 0] != last or held[0][0, 0] != last:
+            if held[0][0, 0] != last:
                 x = np.concatenate(held, 1)
-                end = int(np.searchsorted(x[0], last))
+                end = int(np.flatnonzero(x[0] != last)[-1]) + 1  # rows are sorted: the last token may go on
                 held = [x[:, end:]]
-                if end:
-                    yield from flush(x[:, :end])
+                yield from flush(x[:, :end])
         if held:
             yield from flush(np.concatenate(held, 1))
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "query long, cluster long").distinct()
+    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "query long, cluster long, n long, least long")
+    return shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("query", "cluster")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, share: int) -> DataFrame:
@@ -299,8 +354,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, share: int) -> Da
 
     def run(texts: list[str]) -> dict[str, list]:
         tokens, digests = [], []
-        for t in texts:
-            s = shingles(t, words)
+        for s in shingle_sets(texts, words):
             level = sent.value[(s & _U(COUNTERS - 1)).astype(np.int64)]
             keep = len(s) - -(-share * len(s) // 100) + 1 if len(s) else 0
             tokens.append(s[np.argsort(level, kind="stable")[:keep]].view(np.int64))
@@ -312,14 +366,12 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, share: int) -> Da
 
 def _opened_links(docs: DataFrame, asked: DataFrame, clusters: DataFrame, words: int, share: int) -> DataFrame:
     """Links (a, b) of the candidates (query, cluster): groups of a cluster's classes that qualify are opened."""
-    members = clusters.join(asked.select("cluster").distinct(), "cluster", "left_semi")
-    sizes = written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "jaccard-cluster-sizes")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    members = members.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), parts).cast("int").alias("sub"), F.lit(0).alias("turn"), "id")
-    queries = asked.join(sizes, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"), F.lit(1).alias("turn"), F.col("query").alias("id"))
+    targets = written(clusters.select("cluster", "size").distinct().join(asked.select("cluster").distinct(), "cluster", "left_semi"), "jaccard-targets")
+    members = clusters.join(targets.select("cluster"), "cluster", "left_semi").select("cluster", F.pmod(F.xxhash64("id"), parts).cast("int").alias("sub"), F.lit(0).alias("turn"), "id", "s0", "s1")
+    queries = asked.join(targets, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"), F.lit(1).alias("turn"), F.col("query").alias("id")).join(clusters.select("id", "s0", "s1"), "id")
     rows = written(members.unionByName(queries), "jaccard-asked")
-    sets = _sets_of(docs, rows.select("id").distinct(), words)
-    dealt = rows.join(sets, "id").select("cluster", "sub", "turn", "id", "set").repartition("cluster", "sub").sortWithinPartitions("cluster", "sub", "turn", "id")
+    dealt = _with_sets(docs, rows, words).select("cluster", "sub", "turn", "id", "set").repartition("cluster", "sub").sortWithinPartitions("cluster", "sub", "turn", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, union = None, [], None
@@ -367,12 +419,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     clusters = classes.select("id", "s0", "s1", F.col("id").alias("cluster"), "n")
     if links is not None:
         clusters = clusters.drop("cluster").join(components(links), "id", "left").select("id", "s0", "s1", F.coalesce("label", "id").alias("cluster"), "n")
-    clusters = written(clusters, "jaccard-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    clusters = written(clusters.join(sizes, "cluster", "left").select("id", "s0", "s1", "cluster", "n", F.coalesce("size", F.lit(1)).alias("size")), "jaccard-clusters")
     prefixes = _prefixes(docs, counts, words, share).withColumnRenamed("doc_id", "id")
-    listed = prefixes.join(clusters, ["id", "s0", "s1"]).select("id", "cluster", "n", F.posexplode("tokens").alias("pos", "token"))
-    asked = written(_candidates(listed.select("token", "id", "cluster", (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("at")), share), "jaccard-candidates")
+    at = F.shiftleft(F.col("n"), 24) + F.least(F.col("size"), F.lit((1 << 24) - 1))
+    listed = prefixes.join(clusters, ["id", "s0", "s1"]).select("cluster", "id", at.alias("at"), F.explode("tokens").alias("token"))
+    asked = written(_candidates(listed.select("token", "id", "cluster", "at"), share), "jaccard-candidates")
     if not asked.isEmpty():
-        more = _opened_links(docs, asked, clusters.select("id", "cluster"), words, share)
+        more = _opened_links(docs, asked, clusters, words, share)
         links = more if links is None else links.unionByName(more)
     named = classes.select("s0", "s1", F.col("id").alias("component_id"))
     if links is not None:

@@ -52,7 +52,7 @@ def fold(doc_id: Column) -> Column:
 
 
 #: Code points of text that a worker takes at once.
-HELD = 4_000_000
+HELD = 1_500_000
 
 
 def in_blocks(texts: list[str], most: int = HELD) -> Iterator[slice]:
