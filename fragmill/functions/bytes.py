@@ -65,13 +65,13 @@ def piece(data: Column, ordinal: Column, size) -> Column:
 
 
 def fragment_name(prefix: Column, ordinal: Column) -> Column:
-    """`{prefix}_{ordinal}.rdrf`; null for a name that would leave its folder or a 64-letter prefix that is not hex."""
+    """`{prefix}_{ordinal}.frag`; null for a name that would leave its folder or a 64-letter prefix that is not hex."""
     unsafe = prefix.rlike(r"[/\\]|\.\.") | ((F.char_length(prefix) == 64) & ~prefix.rlike("^[0-9a-fA-F]{64}$"))
-    return F.when(~unsafe, F.format_string("%s_%d.rdrf", prefix, ordinal))
+    return F.when(~unsafe, F.format_string("%s_%d.frag", prefix, ordinal))
 
 
 def remote_path(fingerprint: Column, version: Column, ordinal: Column) -> Column:
-    return F.format_string("%s_v%d_%d.rdrf", fingerprint, version, ordinal)
+    return F.format_string("%s_v%d_%d.frag", fingerprint, version, ordinal)
 
 
 def safe_path(path: Column) -> Column:

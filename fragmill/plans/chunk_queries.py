@@ -75,7 +75,7 @@ def grown_block_size(spark, sf_dir):
 @register(
     "fragment_names",
     f"""WITH {OBJECTS}, f AS (SELECT object_id, sha256(content) AS fp, unnest(range(0, (n + 4095) // 4096)) AS i FROM objects)
-    SELECT object_id, i::INTEGER AS frag_idx, fp || '_' || i || '.rdrf' AS filename, fp || '_v1_' || i || '.rdrf' AS remote_path,
+    SELECT object_id, i::INTEGER AS frag_idx, fp || '_' || i || '.frag' AS filename, fp || '_v1_' || i || '.frag' AS remote_path,
            left(fp, 12) || '...' || right(fp, 8) AS short FROM f""",
 )
 def fragment_names(spark, sf_dir):

@@ -239,3 +239,15 @@ def duip_symbols(spark, sf_dir):
     b = chunking.split(o, 256, ordinal="block_idx", keep=("object_id", "blocks"))
     s = parity.symbols_of(b, edges(spark, sf_dir, "duip"))
     return s.groupBy("object_id", "symbol_id").agg(F.bit_xor("value").alias("folded"), F.count(F.lit(1)).alias("words"))
+
+
+@register(
+    "replicated_fragments",
+    f"""WITH {OBJECTS}, {blocks_sql(256)} SELECT a.object_id, a.block_idx::INTEGER AS frag_idx, count(*)::BIGINT AS blocks, sum(octet_length(b.data) + 8)::BIGINT AS bytes, min(left(sha256(b.data), 16)) AS least_mark
+    FROM blocks a JOIN blocks b ON a.object_id = b.object_id GROUP BY ALL""",
+)
+def replicated_fragments(spark, sf_dir):
+    """Full replication: each fragment carries every block of its object with a short digest before it."""
+    b = chunking.split(objects(spark, sf_dir), 256, ordinal="block_idx").select("object_id", "block_idx", "data")
+    r = rings.replicated(b)
+    return r.groupBy("object_id", "frag_idx").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.octet_length("data") + 8).alias("bytes"), F.min("mark").alias("least_mark"))

@@ -149,10 +149,10 @@ def corrupt_preview(spark, sf_dir):
     return bad.select("object_id", F.array_join(F.slice("x", 1, 5), ",").alias("first_bad"), "bad")
 
 
-@register("fragments_by_prefix", f"WITH {OBJECTS}, {blocks_sql(4096, 'b', 'i')}, n AS (SELECT sha256(content) || '_' || i || '.rdrf' AS name FROM b JOIN objects USING (object_id)) SELECT regexp_extract(name, '^(.*)_[0-9]+\\.rdrf$', 1) AS prefix, count(*)::BIGINT AS fragments, max(regexp_extract(name, '_([0-9]+)\\.rdrf$', 1)::INTEGER)::INTEGER AS last FROM n GROUP BY prefix")
+@register("fragments_by_prefix", f"WITH {OBJECTS}, {blocks_sql(4096, 'b', 'i')}, n AS (SELECT sha256(content) || '_' || i || '.frag' AS name FROM b JOIN objects USING (object_id)) SELECT regexp_extract(name, '^(.*)_[0-9]+\\.frag$', 1) AS prefix, count(*)::BIGINT AS fragments, max(regexp_extract(name, '_([0-9]+)\\.frag$', 1)::INTEGER)::INTEGER AS last FROM n GROUP BY prefix")
 def fragments_by_prefix(spark, sf_dir):
     n = objects(spark, sf_dir).select(F.explode(F.transform(B.cuts(F.octet_length("content"), F.lit(4096)), lambda i: B.fragment_name(B.digest(F.col("content")), i))).alias("name"))
-    return n.groupBy(F.regexp_extract("name", r"^(.*)_[0-9]+\.rdrf$", 1).alias("prefix")).agg(F.count(F.lit(1)).alias("fragments"), F.max(F.regexp_extract("name", r"_([0-9]+)\.rdrf$", 1).cast("int")).alias("last"))
+    return n.groupBy(F.regexp_extract("name", r"^(.*)_[0-9]+\.frag$", 1).alias("prefix")).agg(F.count(F.lit(1)).alias("fragments"), F.max(F.regexp_extract("name", r"_([0-9]+)\.frag$", 1).cast("int")).alias("last"))
 
 
 @register("info_projection", "SELECT o_orderkey AS object_id, '{\"created\":\"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '\",\"status\":\"' || o_orderstatus || '\",\"priority\":\"' || o_orderpriority || '\"}' AS info FROM orders")

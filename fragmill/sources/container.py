@@ -52,11 +52,11 @@ def index_and_payload(opened: DataFrame, body: str = "opened") -> DataFrame:
     return opened.withColumn("_n", length).select("*", F.substr(b, F.lit(5), F.col("_n")).alias("slim"), F.substr(b, F.col("_n") + 5, F.octet_length(b)).alias("payload")).drop("_n")
 
 
-def scanned(spark: SparkSession, folder: str, glob: str = "*.rdrf", recursive: bool = True) -> DataFrame:
+def scanned(spark: SparkSession, folder: str, glob: str = "*.frag", recursive: bool = True) -> DataFrame:
     """path, name, prefix, frag_idx, modified, size, content of the fragment files of a folder, newest first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.regexp_extract(name, r"^(.*)_\d+\.rdrf$", 1).alias("prefix"), F.expr(r"try_cast(regexp_extract(element_at(split(path, '/'), -1), '_(\\d+)\\.rdrf$', 1) as int)").alias("frag_idx"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content").orderBy(F.desc("modified"), "name")
+    return files.select("path", name.alias("name"), F.regexp_extract(name, r"^(.*)_\d+\.frag$", 1).alias("prefix"), F.expr(r"try_cast(regexp_extract(element_at(split(path, '/'), -1), '_(\\d+)\\.frag$', 1) as int)").alias("frag_idx"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content").orderBy(F.desc("modified"), "name")
 
 
 def recovered_indexes(files: DataFrame) -> DataFrame:

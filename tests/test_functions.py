@@ -99,7 +99,7 @@ def test_byte_functions(spark):
     import zlib
 
     assert (r["u"], bytes(r["v"]), r["a"]) == ("-_8AYQ", b"\xfb\xff\x00a", zlib.adler32(b"\xfb\xff\x00a"))
-    assert (r["h"], r["s"], r["f"], r["z"]) == ("143.05 MiB", False, "x_3.rdrf", 3_000_000)
+    assert (r["h"], r["s"], r["f"], r["z"]) == ("143.05 MiB", False, "x_3.frag", 3_000_000)
 
 
 def test_chunk_and_merge(spark):
@@ -168,10 +168,10 @@ def test_settings_and_files(spark, tmp_path):
     assert config.expanded("k: ${A} ${C}", env) == "k: x ${C}"
     assert config.backends("backends:\n  - name: one\n    path: ${B}\n  - name: 'two' # no\nother: 1\n", env) == [{"name": "one", "path": "x"}, {"name": "two"}]
     for i in range(2):
-        (tmp_path / f"abc_{i}.rdrf").write_bytes(container.fragment_file({"original_name": "n", "file_size": 3}, b"pay", bytes(12), bytes(32) if i else b""))
-    (tmp_path / "bad_0.rdrf").write_bytes(b"\xff\x01\x07\x00\x00\x00rest")
+        (tmp_path / f"abc_{i}.frag").write_bytes(container.fragment_file({"original_name": "n", "file_size": 3}, b"pay", bytes(12), bytes(32) if i else b""))
+    (tmp_path / "bad_0.frag").write_bytes(b"\xff\x01\x07\x00\x00\x00rest")
     f = container.parsed(container.scanned(spark, str(tmp_path)))
-    assert {r["name"]: (r["is_fragment"], r["header_version"]) for r in f.collect()} == {"abc_0.rdrf": (True, 1), "abc_1.rdrf": (True, 2), "bad_0.rdrf": (False, None)}
+    assert {r["name"]: (r["is_fragment"], r["header_version"]) for r in f.collect()} == {"abc_0.frag": (True, 1), "abc_1.frag": (True, 2), "bad_0.frag": (False, None)}
     d = container.decoded_indexes(container.index_and_payload(f.where("is_fragment"), "body"))
     assert {(r["original_name"], r["file_size"], bytes(r["payload"])) for r in d.collect()} == {("n", 3, b"pay")}
     assert container.recovered_indexes(container.scanned(spark, str(tmp_path))).count() == 2
