@@ -15,7 +15,6 @@ from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .pretoken import beyond, word_cut
 from .shared import per_text, text_or_empty

@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         used = np.flatnonzero((m["w"] != 0) | (m["v"] != 0).any(1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (used, m["w"][used], m["v"][used], np.float32(m["bias"]).reshape(1))], names=["u", "w", "v", "b"])
 
-    got = written(rows.mapInArrow(terms, "y int, t binary").coalesce(1).mapInArrow(learn, "u binary, w binary, v binary, b binary"), "toxic-model").first()
+    sample = written(rows.mapInArrow(terms, "y int, t binary"), "toxic-sample")  # all tasks read; one then takes what is bounded
+    got = written(sample.coalesce(1).mapInArrow(learn, "u binary, w binary, v binary, b binary"), "toxic-model").first()
     used = np.frombuffer(got["u"], np.int32)
     w, v = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
     w[used], v[used] = np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(-1, FACTORS)
