@@ -15,6 +15,8 @@ from .shared import text_or_empty, written
 
 #: Equal texts are sorted in so many runs; a group of all rows still fills this many ranges.
 SALTS = 256
+#: Code points that splitters compare, so that the sampled splitters stay small; the sort compares whole texts.
+HEAD = 48
 
 
 def normalised(text):
@@ -25,15 +27,17 @@ def normalised(text):
 def content_sorted(docs: DataFrame, salts: int = SALTS, columns: list[str] | None = None) -> DataFrame:
     """`columns` of docs, with _points, _sha and _place, a row's place among the equal neighbours of its run."""
     text = text_or_empty(docs)
+    names = columns or docs.columns
     ranged = docs.select(
-        *(docs[f"`{c}`"] for c in (columns or docs.columns)),
+        *(docs[f"`{c}`"] for c in names),
         normalised(text).alias("_norm"),
         F.char_length(text).alias("_points"),
         F.pmod(F.xxhash64("doc_id", F.char_length(text)), F.lit(salts)).cast("short").alias("_salt"),
-    ).repartitionByRange("_norm", "_salt")
-    near = Window.partitionBy("_norm", "_salt").orderBy(F.desc("_points"), F.asc_nulls_last("doc_id"))
+    )
+    ranged = ranged.withColumn("_head", F.left("_norm", F.lit(HEAD))).repartitionByRange("_head", "_salt")
+    near = Window.partitionBy("_head", "_salt", "_norm").orderBy(F.desc("_points"), F.asc_nulls_last("doc_id"))
     return ranged.select(
-        *(F.col(f"`{c}`") for c in (columns or docs.columns)),
+        *(F.col(f"`{c}`") for c in names),
         "_points",
         F.sha2("_norm", 256).alias("_sha"),
         F.row_number().over(near).alias("_place"),
@@ -54,7 +58,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     An empty table gives an empty one; other columns are not looked at.
     """
     digests = written(content_sorted(docs, salts, ["doc_id"]), "exact-digests")
-    groups = digests.groupBy("_sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(_order()).alias("first"))
+    groups = written(digests.groupBy("_sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(_order()).alias("first")), "exact-groups")
     return digests.join(groups, "_sha").select(
         "doc_id",
         F.col("first.id").alias("keep_id"),
