@@ -267,14 +267,15 @@ def _needed(x: np.ndarray, y: np.ndarray, share: int) -> np.ndarray:
 def _candidates(rows: DataFrame, share: int) -> DataFrame:
     """query, cluster: documents and larger clusters that share as many prefix shingles as some pair of theirs needs.
 
-    rows: token, id, cluster, at (set size and the cluster's number of classes in one number).
+    For a cluster of one class the last shared place also counts: no more can follow than is left of the shorter rest.
+    rows: token, id, cluster, at (set size, place in the prefix and the cluster's size class in one number).
     """
 
     far = 1 << 40
 
     def rows_of(x: np.ndarray) -> np.ndarray:
-        """token, id, cluster, set size, rank of the cluster by size."""
-        return np.stack([x[0], x[1], x[2], x[3] >> 24, x[3] & 0xFFFFFF])
+        """token, id, cluster, set size, rank of the cluster by size, place."""
+        return np.stack([x[0], x[1], x[2], x[3] >> 34, x[3] & 63, x[3] >> 6 & 0xFFFFFFF])
 
     def few(x: np.ndarray, most: int) -> list[np.ndarray]:
         """Pairs of rows of one token, for tokens of at most `most` rows: all at once, by distance."""
@@ -289,7 +290,9 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             a, b = a[:, ok], b[:, ok]
             swap = (a[4] > b[4]) | (a[4] == b[4]) & (a[2] > b[2])  # the query is of the smaller cluster
             q, c = np.where(swap, b[1], a[1]), np.where(swap, a[2], b[2])
-            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share)]))
+            # both sets may hold so many more after this place; only one class against one is told by it
+            rest = np.where((a[4] == 0) & (b[4] == 0), np.minimum(a[3] - a[5], b[3] - b[5]) - 1, far)
+            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share), rest, -(-share * (a[3] + b[3]) // (100 + share))]))
         return out
 
     def many(x: np.ndarray) -> Iterator[np.ndarray]:
@@ -302,7 +305,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             need = np.where(100 * np.minimum(n, o) >= share * np.maximum(n, o), _needed(n, o, share), far)
             need = np.minimum.reduceat(need, starts, axis=1)
             q, c = np.nonzero((need < far) & (np.arange(len(starts))[None, :] > of[s : s + 256, None]))
-            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c]])
+            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c], np.full(len(q), far), np.zeros(len(q), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -320,15 +323,15 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
                 yield from summed(np.concatenate(out, 1))
 
         def summed(y: np.ndarray):
-            """query, cluster, n (tokens shared), least (needed)."""
+            """query, cluster, n (tokens shared), least (needed), rest (what may follow), both (shingles that a link shares)."""
             if not y.shape[1]:
                 return
             y = y[:, np.lexsort((y[0], y[2], y[1]))]
             pair = np.concatenate([[True], (y[1, 1:] != y[1, :-1]) | (y[2, 1:] != y[2, :-1])])
             token = pair | np.concatenate([[True], y[0, 1:] != y[0, :-1]])
             starts = np.flatnonzero(pair)
-            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), np.minimum.reduceat(y[3], starts))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least"])
+            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (3, 4, 5)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least", "rest", "both"])
 
         for b in batches:
             x = np.stack([b.column(i).to_numpy() for i in range(4)])
@@ -344,8 +347,9 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
         if held:
             yield from flush(np.concatenate(held, 1))
 
-    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "query long, cluster long, n long, least long")
-    return shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("query", "cluster")
+    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "query long, cluster long, n long, least long, rest long, both long")
+    pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("least", "rest", "both")))
+    return pairs.where("n >= least and n + rest >= both").select("query", "cluster")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, share: int) -> DataFrame:
@@ -422,8 +426,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     clusters = written(clusters.join(sizes, "cluster", "left").select("id", "s0", "s1", "cluster", "n", F.coalesce("size", F.lit(1)).alias("size")), "jaccard-clusters")
     prefixes = _prefixes(docs, counts, words, share).withColumnRenamed("doc_id", "id")
-    at = F.shiftleft(F.col("n"), 24) + F.least(F.col("size"), F.lit((1 << 24) - 1))
-    listed = prefixes.join(clusters, ["id", "s0", "s1"]).select("cluster", "id", at.alias("at"), F.explode("tokens").alias("token"))
+    at = F.shiftleft(F.col("n"), 34) + F.floor(F.log2("size")).cast("long")
+    listed = prefixes.join(clusters, ["id", "s0", "s1"]).select("cluster", "id", at.alias("at"), F.posexplode("tokens").alias("pos", "token"))
+    listed = listed.withColumn("at", F.col("at") + F.shiftleft(F.col("pos").cast("long"), 6))
     asked = written(_candidates(listed.select("token", "id", "cluster", "at"), share), "jaccard-candidates")
     if not asked.isEmpty():
         more = _opened_links(docs, asked, clusters, words, share)
