@@ -27,6 +27,11 @@ def line_counters(matched: DataFrame, keys: list[str]) -> DataFrame:
     return matched.groupBy(*keys).agg(added.alias("added_lines"), removed.alias("removed_lines"), F.greatest(added, removed).alias("changed_lines"), F.count_if(F.col("type") == "Context").alias("kept_lines"))
 
 
+def sample(data: Column, whole: int = 256 * 1024, head: int = 64 * 1024) -> Column:
+    """What a diff looks at: an object of at most `whole` bytes in full, of a longer one the first `head` bytes."""
+    return F.when(F.octet_length(data) <= whole, data).otherwise(F.substring(data, 1, head))
+
+
 def common_ends(old: Column, new: Column) -> tuple[Column, Column]:
     """Lines that two arrays share at the start, and at the end of what is left."""
     least = F.least(F.size(old), F.size(new))

@@ -144,7 +144,6 @@ def diff_file_tree(spark, sf_dir):
 
 @register("diff_sample", "SELECT doc_id AS object_id, sha256((encode(text))[1:CASE WHEN octet_length(encode(text)) <= 2048 THEN 2048 ELSE 512 END]) AS sample_hash FROM documents")
 def diff_sample(spark, sf_dir):
-    """What a diff looks at: small objects whole, others by their head; here 2 KiB and 512 bytes."""
-    b = B.octets(F.col("text"))
-    head = F.when(F.octet_length(b) <= 2048, b).otherwise(F.substring(b, 1, 512))
+    """What a diff looks at, with the limits that its SQL states: 2 KiB and 512 bytes, not the operator's own."""
+    head = diffs.sample(B.octets(F.col("text")), whole=2048, head=512)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("object_id"), B.digest(head).alias("sample_hash"))

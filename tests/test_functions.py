@@ -175,3 +175,9 @@ def test_settings_and_files(spark, tmp_path):
     d = container.decoded_indexes(container.index_and_payload(f.where("is_fragment"), "body"))
     assert {(r["original_name"], r["file_size"], bytes(r["payload"])) for r in d.collect()} == {("n", 3, b"pay")}
     assert container.recovered_indexes(container.scanned(spark, str(tmp_path))).count() == 2
+
+
+def test_diff_sample_limits(spark):
+    d = spark.createDataFrame([(134_000,), (256 * 1024,), (256 * 1024 + 1,)], "n int").select("n", F.expr("repeat('a', n)").cast("binary").alias("b"))
+    got = {r["n"]: r["k"] for r in d.select("n", F.octet_length(diffs.sample(F.col("b"))).alias("k")).collect()}
+    assert got == {134_000: 134_000, 256 * 1024: 256 * 1024, 256 * 1024 + 1: 64 * 1024}
