@@ -2,7 +2,7 @@
 
 Base kinds stand alone.  Weak candidates (an endpoint, a short access identifier, a bare secret-like string) are
 reported only where complementary parts co-occur: each kind of part is a sorted list of intervals, and a sweep joins
-identifiers with secrets and with endpoints when all lie within one scope of `SCOPE` code points.  The join runs
+identifiers with secrets and with endpoints when at most `SCOPE` code points lie between them.  The join runs
 within a text, so nothing is shuffled, and a part keeps its nearest partners only by existence: no pairs are listed.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
 from .shared import per_text
 
-#: Code points between the ends of the parts of one credential.
+#: Code points in the gap between two parts of one credential.
 SCOPE = 400
 
 # The base kinds' patterns.  Hex and access runs carry their least length, which a maximal run has or not.
@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 # The weak parts: named identifiers, long mixed strings, endpoints.
 IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])")
 _CUES = re.compile(r"AKIA|pass|secret|token|api_?key|user|login|account|client|access|[0-9a-f]{24}|://|[A-Za-z0-9+/_-]{32}", re.IGNORECASE | re.ASCII)
 
@@ -39,15 +39,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(part: tuple[int, int], others: list[tuple[int, int]], starts: list[int], scope: int) -> bool:
-    """Whether an interval of `others` (sorted, disjoint) lies within the scope of `part`, without overlapping it."""
-    i = bisect_left(starts, part[0])
-    left = next((o for o in (others[i - 1], others[i - 2] if i > 1 else None) if o and o[1] <= part[0]), None) if i else None
-    if left and part[1] - left[0] <= scope:
-        return True
-    while i < len(others) and others[i][0] < part[1]:
-        i += 1
-    return i < len(others) and others[i][1] - part[0] <= scope
+def _near(part: tuple[int, int], starts: list[int], ends: list[int], scope: int) -> bool:
+    """Whether an interval, of those with these sorted starts and ends, lies beside `part` with a gap within the scope."""
+    i, j = bisect_right(ends, part[0]), bisect_left(starts, part[1])
+    return (i > 0 and part[0] - ends[i - 1] <= scope) or (j < len(starts) and starts[j] - part[1] <= scope)
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, str, int]]:
@@ -59,9 +54,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE
     weak_secret = [m.span() for m in BARE.finditer(text) if free(m) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     strong_secret = [(s, e) for s, k, e in base if k != 1]
     ends = [m.span() for m in ENDPOINT.finditer(text) if free(m)]
-    lists = {k: sorted(v) for k, v in (("id", weak_id + strong_id), ("secret", weak_secret + strong_secret), ("end", ends))}
-    starts = {k: [s for s, _ in v] for k, v in lists.items()}
-    near = lambda p, k: _near(p, lists[k], starts[k], scope)
+    lists = {k: (sorted(s for s, _ in v), sorted(e for _, e in v)) for k, v in (("id", weak_id + strong_id), ("secret", weak_secret + strong_secret))}
+    near = lambda p, k: _near(p, *lists[k], scope)
     out = [(s, "identifier", e) for s, e in weak_id if near((s, e), "secret")]
     out += [(s, "part", e) for s, e in weak_secret if near((s, e), "id")]
     out += [(s, "endpoint", e) for s, e in ends if near((s, e), "id") and near((s, e), "secret")]
