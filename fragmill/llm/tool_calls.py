@@ -3,8 +3,10 @@
 An assistant turn whose text is a JSON object with `tool_calls` [{id, name, arguments, depends_on?}] makes calls; a turn
 whose text is an object with `tool_call_id` is a result.  Calls and results are hash-joined by conversation and
 identifier after each side was reduced to its first row per identifier, so a repeated identifier cannot flood a task.
-Order is topological: a result comes after its call, a call after the calls it depends on, otherwise turns keep their
-order.  It is given as sort keys, which need no window over a conversation.  Arguments are held against the tools'
+Order is topological over turns: a turn comes after the turns whose calls its own depend on, a result after the turn that
+made its call, otherwise turns keep their order.  It is given as
+sort keys, which need no window over a conversation.  Dependencies are followed until nothing moves, a round for each
+link of the longest chain that runs against the turns; those inside a cycle are found by reachability and left out.  Arguments are held against the tools'
 schemas; messages are canonical JSON: keys sorted at every level, no spaces.
 """
 
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Rounds in which dependencies of calls are followed; calls still moving then stand in a cycle and keep their turn.
-ROUNDS = 16
 TOOLS = "tool string, argument string, type string, required boolean"
 
 
@@ -44,7 +44,7 @@ def parsed_turns(turns: DataFrame) -> DataFrame:
     v = F.when(looks, F.try_parse_json(text))
     call = "array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>"
     calls = F.filter(F.try_variant_get(v, F.lit("$.tool_calls"), call), lambda c: c["id"].isNotNull() & c["name"].isNotNull())
-    return turns.select(
+    rows = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         role.alias("role"),
@@ -53,24 +53,47 @@ def parsed_turns(turns: DataFrame) -> DataFrame:
         F.when(role != "assistant", F.try_variant_get(v, F.lit("$.tool_call_id"), "string")).alias("result_of"),
         F.when(looks, F.try_variant_get(v, F.lit("$.content"), "variant")).alias("content"),
     )
+    return rows
+
+
+def _in_cycles(needs: DataFrame) -> DataFrame:
+    """The rows of needs (conv_id, turn, needed) whose two turns reach each other."""
+    reach, n = needs, -1
+    while (now := reach.count()) != n:
+        n = now
+        on = reach.select("conv_id", F.col("turn").alias("needed"), F.col("needed").alias("far"))
+        reach = written(reach.union(reach.join(on, ["conv_id", "needed"]).select("conv_id", "turn", "far")).distinct(), "reach")
+    back = reach.select("conv_id", F.col("needed").alias("turn"), F.col("turn").alias("needed"))
+    return needs.join(back, ["conv_id", "turn", "needed"], "left_semi")
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, at, step: the turn and step at which a call may come, following dependencies."""
-    now = written(calls.select("conv_id", "call_id", F.col("turn").alias("at"), F.lit(0).alias("step"), "depends_on"), "calls")
-    if now.where(F.size("depends_on") > 0).isEmpty():
-        return now.select("conv_id", "call_id", "at", "step")
-    needs = now.select("conv_id", "call_id", F.explode("depends_on").alias("needed"))
-    for _ in range(ROUNDS):
-        known = now.select("conv_id", F.col("call_id").alias("needed"), F.struct("at", (F.col("step") + 2).alias("step")).alias("after"))
-        latest = needs.join(known, ["conv_id", "needed"]).groupBy("conv_id", "call_id").agg(F.max("after").alias("after"))
-        own = F.struct("at", "step")
-        moved = now.join(latest, ["conv_id", "call_id"], "left").withColumn("next", F.greatest(own, F.coalesce("after", own)))
-        moved = written(moved.select("conv_id", "call_id", "next.at", "next.step", "depends_on", (F.col("next") != own).alias("moved")), "calls")
+    """conv_id, call_id, turn, at, step: the place of a call's turn, which all calls of the turn share."""
+    calls = written(calls, "calls")
+    made = calls.select("conv_id", F.col("call_id").alias("needed_id"), F.col("turn").alias("needed"))
+    needs = calls.select("conv_id", "turn", F.explode("depends_on").alias("needed_id")).join(made, ["conv_id", "needed_id"]).where("turn <> needed")
+    needs = written(needs.select("conv_id", "turn", "needed").distinct(), "needs")
+    if needs.where("needed > turn").isEmpty():
+        return calls.select("conv_id", "call_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"))
+    now = written(calls.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step")).distinct(), "places")
+    own = F.struct("at", "step")
+    while True:
+        known = now.select("conv_id", F.col("turn").alias("needed"), F.struct("at", (F.col("step") + 2).alias("step")).alias("after"))
+        latest = needs.join(known, ["conv_id", "needed"]).groupBy("conv_id", "turn").agg(F.max("after").alias("after"))
+        moved = now.join(latest, ["conv_id", "turn"], "left").withColumn("next", F.greatest(own, F.coalesce("after", own)))
+        moved = written(moved.select("conv_id", "turn", "next.at", "next.step", (F.col("next") != own).alias("moved")), "places")
+        # A path without a cycle has no more links than its conversation has moved turns.
+        state = moved.groupBy("conv_id").agg(F.bool_or("moved").alias("moved"), (F.max("step") > 2 * F.count_if(F.col("step") > 0)).alias("cycle"))
+        any_moved, any_cycle = state.agg(F.bool_or("moved"), F.bool_or("cycle")).first()
         now = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return now.select("conv_id", "call_id", "at", "step")
-    return now.join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).join(moved.where("moved").select("conv_id", "call_id", "moved"), ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("moved"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("moved"), F.lit(0)).otherwise(F.col("step")).alias("step"))
+        if any_cycle:
+            turns = moved.where("step > 0").join(state.where("cycle").select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn")
+            inner = needs.join(turns, ["conv_id", "turn"], "left_semi").join(turns.withColumnRenamed("turn", "needed"), ["conv_id", "needed"], "left_semi")
+            needs = written(needs.join(_in_cycles(written(inner.select("conv_id", "turn", "needed"), "reach")), ["conv_id", "turn", "needed"], "left_anti"), "needs")
+            again = now.join(state.where("cycle").select("conv_id", "cycle"), "conv_id", "left")
+            now = written(again.select("conv_id", "turn", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("cycle"), F.lit(0)).otherwise(F.col("step")).alias("step")), "places")
+        elif not any_moved:
+            return calls.join(now, ["conv_id", "turn"], "left").select("conv_id", "call_id", "turn", F.coalesce("at", "turn").alias("at"), F.coalesce("step", F.lit(0)).alias("step"))
 
 
 def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -103,7 +126,7 @@ def format_chats(turns: DataFrame, tools: DataFrame) -> DataFrame:
         ordered, linked_ = None, None
     else:
         first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.min_by("depends_on", "turn").alias("depends_on"))
-        ordered = _ordered(first).join(first.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"])
+        ordered = _ordered(first)
         linked_ = written(ordered.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left"), "links")
     plain = F.struct(F.col("text").alias("content"), F.col("role").alias("role"))
     content = F.when(F.col("content").isNotNull(), canonical(F.col("content"))).otherwise(F.lit("null"))

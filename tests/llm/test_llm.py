@@ -307,6 +307,24 @@ def test_tool_calls(spark):
     assert got[3, 0]["n_calls"] == 0 and got[3, 1]["n_calls"] == 2 and got[3, 1]["n_valid"] == 2
 
 
+def calling(*calls):
+    return '{"tool_calls":[' + ",".join(f'{{"id":"{i}","name":"u","depends_on":[{",".join(chr(34) + d + chr(34) for d in needs)}]}}' for i, *needs in calls) + "]}"
+
+
+def test_tool_call_order(spark):
+    chain = [(1, i, "assistant", calling((f"c{i}", f"c{i + 1}"))) for i in range(40)]
+    turns = [
+        (2, 1, "assistant", calling(("A",), ("B", "C"))), (2, 2, "tool", '{"tool_call_id":"A"}'), (2, 3, "assistant", calling(("C",))),
+        (4, 0, "assistant", calling(("d", "a"))), (4, 1, "assistant", calling(("a", "b"))), (4, 2, "assistant", calling(("b", "a"))), (4, 3, "user", "end"),
+    ]
+    t = spark.createDataFrame(chain + turns, "conv_id long, turn long, role string, text string")
+    got = sorted(tool_calls.format_chats(t, spark.createDataFrame([], tool_calls.TOOLS)).collect(), key=lambda r: (r["conv_id"], r["order_turn"], r["order_step"], r["turn"]))
+    order = lambda c: [r["turn"] for r in got if r["conv_id"] == c]
+    assert order(1) == list(range(39, -1, -1))
+    assert order(2) == [3, 1, 2]
+    assert order(4) == [1, 0, 2, 3]  # a and b keep their turns, d follows a
+
+
 def test_queries_and_pipeline(spark, sf_dir):
     import corpus_pipeline
     from fragmill.llm import queries
