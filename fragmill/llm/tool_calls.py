@@ -4,7 +4,7 @@ An assistant turn whose text is a JSON object with `tool_calls` [{id, name, argu
 whose text is an object with `tool_call_id` is a result.  Calls and results are hash-joined by conversation and
 identifier after each side was reduced to its first row per identifier, so a repeated identifier cannot flood a task.
 Order is topological over turns: a turn comes after the turns whose calls its own depend on, a result after the turn that
-made its call, otherwise turns keep their order.  It is given as
+made its call, otherwise turns keep their order; calls of one turn stand in their order of dependency.  It is given as
 sort keys, which need no window over a conversation.  Dependencies are followed until nothing moves, a round for each
 link of the longest chain that runs against the turns; those inside a cycle are found by reachability and left out.  Arguments are held against the tools'
 schemas; messages are canonical JSON: keys sorted at every level, no spaces.
@@ -37,6 +37,17 @@ def _fits(kind: Column, wanted: Column) -> Column:
     )
 
 
+def _by_dependency(calls: Column) -> Column:
+    """Calls of one turn, each after those of the turn that it depends on; calls in a cycle keep their order."""
+    ids = F.transform(calls, lambda c: c["id"])
+    needs = F.transform(calls, lambda c: F.array_intersect(F.coalesce(c["depends_on"], F.array().cast("array<string>")), ids))
+    # Each pass doubles how far back `needs` reaches; a call reaches more of its turn than any call that it needs.
+    further = lambda acc, _: F.transform(acc, lambda n: F.array_distinct(F.concat(n, F.flatten(F.transform(n, lambda d: F.element_at(acc, F.array_position(ids, d).cast("int")))))))
+    reach = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(calls))).cast("int")), needs, further)
+    places = F.array_sort(F.transform(reach, lambda n, i: F.struct(F.size(F.array_union(n, F.array(F.element_at(ids, i + 1)))).alias("n"), i.alias("i"))))
+    return F.when(F.exists(needs, lambda n: F.size(n) > 0), F.transform(places, lambda p: F.element_at(calls, p["i"] + 1))).otherwise(calls)
+
+
 def parsed_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, and calls and result of turns that are JSON objects of those shapes."""
     text, role = F.col("text").cast("string"), F.col("role").cast("string")
@@ -53,7 +64,7 @@ def parsed_turns(turns: DataFrame) -> DataFrame:
         F.when(role != "assistant", F.try_variant_get(v, F.lit("$.tool_call_id"), "string")).alias("result_of"),
         F.when(looks, F.try_variant_get(v, F.lit("$.content"), "variant")).alias("content"),
     )
-    return rows
+    return rows.withColumn("calls", F.when(F.size("calls") > 1, _by_dependency(F.col("calls"))).otherwise(F.col("calls")))
 
 
 def _in_cycles(needs: DataFrame) -> DataFrame:

@@ -315,6 +315,7 @@ def test_tool_call_order(spark):
     chain = [(1, i, "assistant", calling((f"c{i}", f"c{i + 1}"))) for i in range(40)]
     turns = [
         (2, 1, "assistant", calling(("A",), ("B", "C"))), (2, 2, "tool", '{"tool_call_id":"A"}'), (2, 3, "assistant", calling(("C",))),
+        (3, 0, "assistant", calling(("z", "y"), ("y", "x"), ("x",), ("p", "q"), ("q", "p"))),
         (4, 0, "assistant", calling(("d", "a"))), (4, 1, "assistant", calling(("a", "b"))), (4, 2, "assistant", calling(("b", "a"))), (4, 3, "user", "end"),
     ]
     t = spark.createDataFrame(chain + turns, "conv_id long, turn long, role string, text string")
@@ -323,6 +324,8 @@ def test_tool_call_order(spark):
     assert order(1) == list(range(39, -1, -1))
     assert order(2) == [3, 1, 2]
     assert order(4) == [1, 0, 2, 3]  # a and b keep their turns, d follows a
+    ids = re.findall(r'"id":"(.)"', next(r["message"] for r in got if r["conv_id"] == 3))
+    assert ids == ["x", "y", "p", "q", "z"]
 
 
 def test_queries_and_pipeline(spark, sf_dir):
