@@ -6,20 +6,26 @@ a run's start, so no text costs more than its length.
 
 The corpus tells which terms disclose: a term's disclosure is the share of its occurrences that stand in the context of
 a protected entity (`WINDOW` words within `REACH` code points on either side), its information the logarithm of that
-share over the share of all words that do.  Only terms seen in at least `CONTEXTS` different contexts can disclose, so
-copies of one document cannot make a term do so.  Terms beyond both thresholds are spans of their own and generalised.
+share over the share of all words that do.  Both are taken with each entity by itself (a nickname) and with all together
+(a cue word).  That a term stands there must be no chance either: with its different contexts as draws, Chernoff's bound
+on the binomial tail, times all terms (and entities) tried, is at most `CHANCE`.  `CONTEXTS` is 2, because one context is
+what copies of one document give.  Terms beyond all thresholds are spans of their own and generalised.
 Context counts and totals are aggregated on the map side; only totals of candidate terms are shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty, written
 
-#: Context words on either side, their reach, different contexts, share of occurrences and bits that disclose.
-WINDOW, REACH, CONTEXTS, DISCLOSURE, BITS = 5, 120, 8, 0.5, 4.0
+#: Context words on either side, their reach, least contexts, share of occurrences and bits that disclose.
+WINDOW, REACH, CONTEXTS, DISCLOSURE, BITS = 5, 120, 2, 0.5, 4.0
+#: Expected number of terms that would pass by chance in the whole corpus.
+CHANCE = 0.001
 
 # The kinds, their patterns and what each text must hold to be looked at.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -79,7 +85,7 @@ def _plain(word: Column) -> Column:
     return F.rtrim(F.lower(word), F.lit(".,;:!?"))
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, reach: int = REACH, contexts: int = CONTEXTS, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, reach: int = REACH, contexts: int = CONTEXTS, disclosure: float = DISCLOSURE, bits: float = BITS, chance: float = CHANCE) -> DataFrame:
     """term: what discloses a protected entity in this corpus, as a written table."""
     texts = docs.select(text_or_empty(docs).alias("text"))
     inner = F.lit(rf"(?<={_SPACE}){_WORD}+(?={_SPACE})")
@@ -87,18 +93,32 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
     left = F.regexp_extract_all(F.substr("text", F.greatest(F.lit(1), F.col("x.s") + 1 - reach), F.least(F.col("x.s"), F.lit(reach))), inner, F.lit(0))
     right = F.regexp_extract_all(F.substr("text", F.col("x.e") + 1, F.lit(reach)), inner, F.lit(0))
     words = F.concat(F.when(F.size(left) > window, F.slice(left, -window, window)).otherwise(left), F.slice(right, 1, window))
-    seen = near.select(F.transform(words, _plain).alias("w")).select(F.xxhash64(F.concat_ws(" ", "w")).alias("context"), F.explode("w").alias("term")).where("term <> ''")
-    seen = written(seen.groupBy("term", "context").agg(F.count(F.lit(1)).alias("n")), "pii-contexts")
+    entity = F.xxhash64(F.lower(F.substr("text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))))
+    seen = near.select(entity.alias("entity"), F.transform(words, _plain).alias("w")).select("entity", F.xxhash64(F.concat_ws(" ", "w")).alias("context"), F.explode("w").alias("term")).where("term <> ''")
+    seen = written(seen.groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("n")), "pii-contexts")
     inside = seen.agg(F.sum("n")).first()[0] or 0
-    candidates = written(seen.groupBy("term").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts), "pii-candidates")
+    candidates = written(seen.groupBy("term").agg(F.sum("n").alias("near"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts), "pii-candidates")
     if not inside or candidates.isEmpty():
         return candidates.select("term")
     every = texts.select(F.explode(F.split("text", F.lit(f"{_SPACE}+"))).alias("w")).select(_plain(F.col("w")).alias("term")).where("term <> ''")
     totals = every.join(candidates.select(F.col("term").alias("term"), F.lit(1).alias("hit")), "term", "left").groupBy(F.when(F.col("hit") == 1, F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("total"))
     totals = written(totals, "pii-totals")
     whole = totals.agg(F.sum("total")).first()[0]
-    share = F.least(F.lit(1.0), F.col("near") / F.col("total"))
-    told = candidates.join(totals, "term").where((share >= disclosure) & (F.log2(share / F.lit(inside / whole)) >= bits))
+    n_terms, n_entities = seen.select("term").distinct().count(), seen.select("entity").distinct().count()
+
+    def telling(counts: DataFrame, tried: int) -> DataFrame:
+        """Terms of counts (term, near, contexts, beside: words beside the entities) that pass."""
+        k, base = F.least("contexts", "total"), F.col("beside") / F.lit(whole)  # an occurrence between two entities is one draw
+        draws = k + F.greatest(F.lit(0), F.col("total") - F.col("near"))
+        q, share = k / draws, F.least(F.lit(1.0), F.col("near") / F.col("total"))
+        gain = q * F.log(q / base) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
+        sure = (q > base) & (draws * gain >= math.log(tried / chance))
+        return counts.join(totals, "term").where((k >= contexts) & (share >= disclosure) & (F.log2(share / base) >= bits) & sure).select("term")
+
+    together = candidates.withColumn("beside", F.lit(inside))
+    each = seen.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
+    each = each.join(seen.groupBy("entity").agg(F.sum("n").alias("beside")), "entity")
+    told = telling(together, n_terms).union(telling(each, n_terms * n_entities)).distinct().where(F.size(base_spans(F.col("term"))) == 0)
     return written(told.select("term"), "pii-terms")
 
 

@@ -144,6 +144,16 @@ def test_disclosing_terms(spark):
     assert pii.disclosing_terms(copies).count() == 0  # copies are one context
 
 
+def test_names_of_one_entity_disclose(spark):
+    texts = [f"a{i} b{i} Zizou boss@mail.example.com c{i} some d{i}" for i in range(3)]
+    texts += ["once only Solo one@mail.example.com then on"] + ["some words more words " + "other " * i for i in range(90)]
+    d = documents(spark, texts)
+    assert [r["term"] for r in pii.disclosing_terms(d).collect()] == ["zizou"]
+    assert rows(pii.sanitise(d))[1]["text"] == "a1 b1 [TERM] [EMAIL] c1 some d1"
+    between = documents(spark, ["x1 boss@mail.example.com Zizou boss@mail.example.com y1 z1", *texts[4:]])
+    assert pii.disclosing_terms(between).count() == 0  # two contexts, one occurrence
+
+
 def test_sanitise_overlaps_and_nulls(spark):
     d = documents(spark, [None, "+1 (132) 555-1352", "x 4111 1111 1111 1111 y", ""])
     assert [r["text"] for r in pii.sanitise(d).orderBy("doc_id").collect()] == [None, "[PHONE]", "x [CARD] y", ""]
