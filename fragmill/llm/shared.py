@@ -35,7 +35,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fragmill_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that no lazy plan reads any more."""
+    for t in tables:
+        if path := getattr(t, "_fragmill_path", None):
+            session = t.sparkSession
+            at = session._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns in one struct: whatever their names, none clashes with a column made beside it."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +88,7 @@ def per_text(docs: DataFrame, run: Callable[[list[str]], dict[str, list]], colum
 
     Null text is handed over as empty.  Workers hold one Arrow batch and the results of one block of texts.
     """
-    rows = docs.select(*keep, text_or_empty(docs).alias("_text"))
+    rows = docs.select(*(docs[f"`{c}`"] for c in keep), text_or_empty(docs))
     schema = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(columns).fields)
     arrow = to_arrow_schema(schema)
 

@@ -77,9 +77,9 @@ def test_empty_tables(spark, empty):
 
 def test_exact(docs, texts):
     want = brute.exact(list(enumerate(texts)))
-    got = rows(exact_dedup.exact_groups(docs, salts=4))
+    got = rows(exact_dedup.exact_groups(docs, runs=4))
     assert {i: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for i, r in got.items()} == want
-    kept = exact_dedup.drop_copies(docs, salts=4)
+    kept = exact_dedup.drop_copies(docs, runs=4)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, w in want.items() if w[2])
 
 
