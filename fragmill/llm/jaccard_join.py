@@ -2,8 +2,8 @@
 
 Words give distinct 5-word shingles; two documents link when 100 * intersection >= 75 * union.
 
-1. One pass takes each document's set size, a digest of its set, two minimum hashes and adds its shingles to a sketch of
-   2^20 counters.  Documents with one set are one class, which its smallest id stands for.
+1. One pass takes each document's set size, a digest of its set, two minimum hashes and adds its shingles to a sketch
+   whose counters grow with the corpus.  Documents with one set are one class, which its smallest id stands for.
 2. Classes that share both minimum hashes are dealt into chunks.  In a chunk, documents join groups; a group keeps the
    union of its members' shingles, a query opens a group only if enough of it lies in that union, and links to the first
    member near enough.  Large groups are dealt twice, and clusters that share one of the hashes meet by a few members.
@@ -15,8 +15,10 @@ Words give distinct 5-word shingles; two documents link when 100 * intersection
 4. Links of both rounds make components by label propagation with pointer jumping.
 
 Widely shared passages come last in every prefix, and copies meet as one class or one cluster, so neither lists its
-pairs.  All tables live in the shared folder; the driver sees counters, the sketch and bitmaps of fixed size only.
-Shingles are compared by 64-bit hashes.
+pairs.  Prefixes travel packed: a row holds one bucket's part of many documents' prefixes, not one shingle.  The
+documents that ask a large cluster are dealt in blocks, each beside the members it is compared with, so no task gathers
+all of them.  All tables live in the shared folder; the driver sees counters of heavy shingles and bitmaps of bounded
+size only.  Shingles are compared by 64-bit hashes; prefixes hold 48 bits of them.
 """
 
 from __future__ import annotations
@@ -27,16 +29,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_blocks, per_text, text_or_empty, written
+from .shared import dropped, in_blocks, per_text, row_of, text_or_empty, written
 
 WORDS, SHARE = 5, 75
-#: Counters of the sketch, bits of a membership map, parts in which both travel, members of a chunk or opened group, of a
-#: cluster that meet other clusters.
-COUNTERS, BITS, PARTS, CHUNK, DELEGATES = 1 << 20, 1 << 22, 64, 64, 8
+#: Least and most counters of the sketch and bits of a membership map (as powers of two), parts in which both travel,
+#: members of a chunk or opened group, of a cluster that meet other clusters, queries of a block.
+COUNTERS, BITS, PARTS, CHUNK, DELEGATES, BLOCK = (18, 26), (16, 30), 256, 64, 8, 256
+#: At most so many shingles are heavy; least documents of a heavy one.
+HEAVY, LEAST = 1 << 22, 16
+#: Shingles that are packed at once, prefix shingles of a bucket.
+PACKED, BUCKET = 2_000_000, 1_000_000
 REMEMBERED = 200_000
+#: Rows of numbers that are broadcast at most, some 20 MB; with more, both sides are shuffled.
+SENT = 200_000
+#: Bytes of a shingle in a prefix.
+WIDTH = 6
 _U = np.uint64
 
 
@@ -123,86 +134,138 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1))
 
 
-def _summed(rows: DataFrame, kind: str, join) -> dict[int, bytes]:
-    """The parts of an array, joined by `join` in a stream per part; PARTS rows come to the driver."""
-    dtype = np.dtype(kind)
+def _power(n: float, bounds: tuple[int, int]) -> int:
+    """The least power of two from n on, within bounds (both as exponents)."""
+    return min(max(int(n).bit_length(), bounds[0]), bounds[1])
+
+
+def planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """Bytes of numbers, all first bytes before all second ones; `width` bytes of each are kept."""
+    return x.view(np.uint8).reshape(-1, x.itemsize)[:, :width].T.tobytes()
+
+
+def unplaned(data: bytes, count: int, dtype, width: int | None = None) -> np.ndarray:
+    out = np.zeros((count, np.dtype(dtype).itemsize), np.uint8)
+    width = width or out.shape[1]
+    out[:, :width] = np.frombuffer(data, np.uint8, count * width).reshape(width, count).T
+    return out.view(dtype).reshape(-1)
+
+
+def _sketched(flat: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """part, data: the counters (top `bits` bits of a shingle) that these shingles add to, and how much."""
+    at, n = np.unique((flat >> _U(64 - bits)).astype(np.uint32), return_counts=True)
+    each = (1 << bits) // PARTS
+    cuts = np.searchsorted(at, np.arange(PARTS + 1, dtype=np.int64) * each)
+    for part in range(PARTS):
+        s, e = cuts[part], cuts[part + 1]
+        if e > s:
+            yield part, zstandard.compress(planes(np.diff(at[s:e], prepend=np.uint32(part * each))) + planes(np.minimum(n[s:e], 0xFFFFFFFF).astype(np.uint32)), 1)
+
+
+def _heavy(rows: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of at least `least`, ascending, and their levels: 1, and one more for each doubling."""
+    each = (1 << bits) // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        at, counts = None, np.zeros(each, np.int64)
+
+        def done():
+            hit = np.flatnonzero(counts >= least)
+            if at is not None and len(hit):
+                level = 1 + np.floor(np.log2(counts[hit] / least)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(hit + at * each).astype(np.uint32).tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["part", "at", "level"])
+
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(data, dtype)
-                held[part] = join(held[part], x) if part in held else x.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "data"])
+                if part != at:
+                    yield from done()
+                    at = part
+                    counts[:] = 0
+                raw = zstandard.decompress(data)
+                n = len(raw) // 8
+                counts[np.cumsum(unplaned(raw, n, np.uint32), dtype=np.int64)] += unplaned(raw[4 * n :], n, np.uint32)
+        yield from done()
 
-    return {r["part"]: r["data"] for r in rows.select("part", "data").repartition("part").mapInArrow(run, "part int, data binary").collect()}
+    got = sorted(rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, at binary, level binary").collect())
+    join = lambda k, dtype: np.concatenate([np.frombuffer(r[k], dtype) for r in got] or [np.empty(0, dtype)])
+    return join("at", np.uint32), join("level", np.uint8)
 
 
-def _first_pass(docs: DataFrame, words: int) -> DataFrame:
+def _first_pass(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """Rows of documents (part null) and of the sketch (doc_id null)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("t"))
     names = ["doc_id", "n", "s0", "s1", "k0", "k1", "part", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        held, size = [], 0
+
+        def counted():
+            found = list(_sketched(np.concatenate(held), bits))
+            none = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([*[none] * 6, pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=names)
+
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in in_blocks(texts):
                 sets = shingle_sets(texts[s], words)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                counts += np.bincount((flat & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                held += sets
+                size += sum(map(len, sets))
                 least = np.array([(x[0], mixed(x ^ _U(0x51ED270B)).min()) if len(x) else (0, 0) for x in sets], np.uint64).view(np.int64).T
                 cols = [*zip(*map(digest, sets)), *least]
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, m), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        if counts.any():
-            parts = counts.reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(6)), pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+                if size >= PACKED:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
     return written(rows.mapInArrow(run, "doc_id long, n long, s0 long, s1 long, k0 long, k1 long, part int, data binary"), "jaccard-pass")
 
 
-def _level(counts: np.ndarray) -> np.ndarray:
-    """0 for counters near the background, more for each doubling beyond four times it."""
-    usual = max(2.0, 4.0 * float(counts.mean()))
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.uint8)
-
-
-def _bit(column):
-    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
-
-
 def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     """need (id, s0, s1, ...) with `set`, the shingles of the documents that have those digests.
 
-    A bitmap of fixed size spares most other documents the cutting, and the join settles the rest.
+    A bitmap of some 16 bits for each needed id, 2^30 at most, spares most other documents the cutting, and the join
+    settles the rest.
     """
     spark = docs.sparkSession
-    each = BITS // 8 // PARTS
+    needed = need.count()
+    size = 1 << _power(16 * needed, BITS)
+    each = size // PARTS
+    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(size)).cast("int")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        at, held = None, np.zeros(each, bool)
         for b in batches:
-            bits[b.column(0).to_numpy()] = True
-        if bits.any():
-            data = np.packbits(bits).reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], names=["part", "data"])
-
-    got = _summed(need.select(_bit("id").alias("bit")).mapInArrow(fill, "part int, data binary"), "u1", np.bitwise_or)
-    sent = spark.sparkContext.broadcast(b"".join(got.get(p, bytes(each)) for p in range(PARTS)))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), _bit(F.col("doc_id").cast("long")).alias("bit"), text_or_empty(docs).alias("t"))
+            part, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for s, e in zip(c := [0, *(np.flatnonzero(np.diff(part)) + 1)], [*c[1:], len(part)]):
+                if e > s and part[s] != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "data"])
+                    at = int(part[s])
+                    held[:] = False
+                held[x[s:e] - (at or 0) * each] = True
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "data"])
+
+    bits = need.select(bit(F.col("id")).alias("bit")).distinct().select(F.floor(F.col("bit") / each).cast("int").alias("part"), "bit")
+    got = {r["part"]: r["data"] for r in bits.repartition("part").sortWithinPartitions("part").mapInArrow(fill, "part int, data binary").collect()}
+    sent = spark.sparkContext.broadcast(b"".join(got.get(p, bytes(each // 8)) for p in range(PARTS)))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), bit(F.col("doc_id").cast("long")).alias("bit"), text_or_empty(docs).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            b = b.filter(pa.array(bits[b.column(1).to_numpy()]))
+            at = b.column(1).to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             texts = b.column(2).to_pylist()
             for s in in_blocks(texts):
                 sets = shingle_sets(texts[s], words)
                 digests = [pa.array(x, pa.int64()) for x in zip(*map(digest, sets))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *digests, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s0", "s1", "set"])
 
-    return rows.mapInArrow(run, "id long, s0 long, s1 long, set binary").join(need, ["id", "s0", "s1"])
+    return rows.mapInArrow(run, "id long, s0 long, s1 long, set binary").join(F.broadcast(need) if needed <= SENT else need, ["id", "s0", "s1"])
 
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
@@ -264,19 +327,74 @@ def _needed(x: np.ndarray, y: np.ndarray, share: int) -> np.ndarray:
     return np.maximum(1, both - np.maximum(-(-share * x // 100), -(-share * y // 100)) + 1)
 
 
+def _packed(listed: DataFrame, buckets: int) -> DataFrame:
+    """bucket, data: the prefixes (id, cluster, n, rank, tokens) cut by the hash of their shingles.
+
+    A row has one bucket's shingles of as many documents as `PACKED` prefix shingles come from: they ascend, each with
+    its document (an entry of a small table) and its place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done():
+            docs = np.array([x[:4] for x in held], np.int64)
+            count = np.array([len(x[4]) // WIDTH for x in held])
+            token = np.concatenate([unplaned(x[4], n, np.int64, WIDTH) for x, n in zip(held, count)])
+            of = np.repeat(np.arange(len(held)), count)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            order = np.argsort(token, kind="stable")
+            order = order[np.argsort(token[order] % buckets, kind="stable")]
+            token, of, place = token[order], of[order], place[order]
+            bucket = token % buckets
+            starts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(token)]
+            names, data = [], []
+            for b, e in zip(starts, starts[1:]):
+                mine, at = np.unique(of[b:e], return_inverse=True)
+                head = np.array([e - b, len(mine)], np.int64).tobytes()
+                body = planes(np.diff(token[b:e], prepend=0)) + planes(at.astype(np.int64)) + planes(place[b:e].astype(np.int64)) + b"".join(planes(np.ascontiguousarray(c)) for c in docs[mine].T)
+                names.append(int(bucket[b]))
+                data.append(zstandard.compress(head + body, 1))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+        for b in batches:
+            for x in zip(*(b.column(i).to_pylist() for i in range(5))):
+                held.append(x)
+                size += len(x[4]) // WIDTH
+                if size >= PACKED:
+                    yield done()
+                    held, size = [], 0
+        if size:
+            yield done()
+
+    return listed.select("id", "cluster", "n", "rank", "tokens").mapInArrow(run, "bucket long, data binary")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Rows of token, id, cluster, set size, rank of the cluster by size, place."""
+    raw = zstandard.decompress(data)
+    rows, docs = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    at = [16]
+
+    def next_(n: int) -> np.ndarray:
+        out = unplaned(raw[at[0] :], n, np.int64)
+        at[0] += 8 * n
+        return out
+
+    token, of, place = np.cumsum(next_(rows)), next_(rows), next_(rows)
+    ids, cluster, n, rank = (next_(docs)[of] for _ in range(4))
+    return np.stack([token, ids, cluster, n, rank, place])
+
+
 def _candidates(rows: DataFrame, share: int) -> DataFrame:
     """query, cluster: documents and larger clusters that share as many prefix shingles as some pair of theirs needs.
 
-    For a cluster of one class the last shared place also counts: no more can follow than is left of the shorter rest.
-    rows: token, id, cluster, at (set size, place in the prefix and the cluster's size class in one number).
+    One shared shingle at least must stand early enough in both prefixes.  For a cluster of one class the last shared
+    place also counts: no more can follow than is left of the shorter rest.  rows: bucket, data as `_packed` gives them.
     """
 
     far = 1 << 40
 
-    def rows_of(x: np.ndarray) -> np.ndarray:
-        """token, id, cluster, set size, rank of the cluster by size, place."""
-        return np.stack([x[0], x[1], x[2], x[3] >> 34, x[3] & 63, x[3] >> 6 & 0xFFFFFFF])
-
     def few(x: np.ndarray, most: int) -> list[np.ndarray]:
         """Pairs of rows of one token, for tokens of at most `most` rows: all at once, by distance."""
         out, at = [], np.arange(x.shape[1])
@@ -291,8 +409,8 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             swap = (a[4] > b[4]) | (a[4] == b[4]) & (a[2] > b[2])  # the query is of the smaller cluster
             q, c = np.where(swap, b[1], a[1]), np.where(swap, a[2], b[2])
             # both sets may hold so many more after this place; only one class against one is told by it
-            rest = np.where((a[4] == 0) & (b[4] == 0), np.minimum(a[3] - a[5], b[3] - b[5]) - 1, far)
-            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share), rest, -(-share * (a[3] + b[3]) // (100 + share))]))
+            left, both = np.minimum(a[3] - a[5], b[3] - b[5]) - 1, -(-share * (a[3] + b[3]) // (100 + share))
+            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share), np.where((a[4] == 0) & (b[4] == 0), left, far), both, left + 1 >= both]))
         return out
 
     def many(x: np.ndarray) -> Iterator[np.ndarray]:
@@ -305,13 +423,11 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             need = np.where(100 * np.minimum(n, o) >= share * np.maximum(n, o), _needed(n, o, share), far)
             need = np.minimum.reduceat(need, starts, axis=1)
             q, c = np.nonzero((need < far) & (np.arange(len(starts))[None, :] > of[s : s + 256, None]))
-            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c], np.full(len(q), far), np.zeros(len(q), np.int64)])
+            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c], np.full(len(q), far), np.zeros(len(q), np.int64), np.ones(len(q), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
         def flush(x: np.ndarray):
-            x = rows_of(x)
+            x = x[:, np.argsort(x[0], kind="stable")]
             starts = np.concatenate([[0], np.flatnonzero(np.diff(x[0])) + 1])
             mixed_ = np.minimum.reduceat(x[2], starts) != np.maximum.reduceat(x[2], starts)
             size = np.diff([*starts, x.shape[1]])
@@ -323,68 +439,69 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
                 yield from summed(np.concatenate(out, 1))
 
         def summed(y: np.ndarray):
-            """query, cluster, n (tokens shared), least (needed), rest (what may follow), both (shingles that a link shares)."""
+            """query, cluster, n (tokens shared), least (needed), rest (what may follow), both (shingles that a link shares), early."""
             if not y.shape[1]:
                 return
             y = y[:, np.lexsort((y[0], y[2], y[1]))]
             pair = np.concatenate([[True], (y[1, 1:] != y[1, :-1]) | (y[2, 1:] != y[2, :-1])])
             token = pair | np.concatenate([[True], y[0, 1:] != y[0, :-1]])
             starts = np.flatnonzero(pair)
-            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (3, 4, 5)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least", "rest", "both"])
+            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (3, 4, 5)), np.maximum.reduceat(y[6], starts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least", "rest", "both", "early"])
 
+        at, held = None, []
         for b in batches:
-            x = np.stack([b.column(i).to_numpy() for i in range(4)])
-            if not x.shape[1]:
-                continue
-            held.append(x)
-            last = x[0, -1]
-            if held[0][0, 0] != last:
-                x = np.concatenate(held, 1)
-                end = int(np.flatnonzero(x[0] != last)[-1]) + 1  # rows are sorted: the last token may go on
-                held = [x[:, end:]]
-                yield from flush(x[:, :end])
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != at and held:
+                    yield from flush(np.concatenate(held, 1))
+                    held = []
+                at = bucket
+                held.append(unpacked(data))
         if held:
             yield from flush(np.concatenate(held, 1))
 
-    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "query long, cluster long, n long, least long, rest long, both long")
-    pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("least", "rest", "both")))
-    return pairs.where("n >= least and n + rest >= both").select("query", "cluster")
+    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "query long, cluster long, n long, least long, rest long, both long, early long")
+    pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
+    return pairs.where("n >= least and n + rest >= both and early > 0").select("query", "cluster")
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, share: int) -> DataFrame:
+def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int, words: int, share: int) -> DataFrame:
     """doc_id, tokens, s0, s1: prefixes of all texts, rare shingles first, and the digests of their sets."""
-    sent = docs.sparkSession.sparkContext.broadcast(_level(counts))
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY counters
 
     def run(texts: list[str]) -> dict[str, list]:
         tokens, digests = [], []
+        at, levels = sent.value
         for s in shingle_sets(texts, words):
-            level = sent.value[(s & _U(COUNTERS - 1)).astype(np.int64)]
+            mine = (s >> _U(64 - bits)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(at, mine), max(0, len(at) - 1))
+            level = np.where(at[place] == mine, levels[place], 0) if len(at) else np.zeros(len(s), np.uint8)
             keep = len(s) - -(-share * len(s) // 100) + 1 if len(s) else 0
-            tokens.append(s[np.argsort(level, kind="stable")[:keep]].view(np.int64))
+            tokens.append(planes(s[np.argsort(level, kind="stable")[:keep]], WIDTH))
             digests.append(digest(s))
         return {"tokens": tokens, "s0": [x for x, _ in digests], "s1": [x for _, x in digests]}
 
-    return per_text(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "tokens array<long>, s0 long, s1 long")
+    return per_text(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "tokens binary, s0 long, s1 long")
 
 
 def _opened_links(docs: DataFrame, asked: DataFrame, clusters: DataFrame, words: int, share: int) -> DataFrame:
     """Links (a, b) of the candidates (query, cluster): groups of a cluster's classes that qualify are opened."""
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    targets = written(clusters.select("cluster", "size").distinct().join(asked.select("cluster").distinct(), "cluster", "left_semi"), "jaccard-targets")
-    members = clusters.join(targets.select("cluster"), "cluster", "left_semi").select("cluster", F.pmod(F.xxhash64("id"), parts).cast("int").alias("sub"), F.lit(0).alias("turn"), "id", "s0", "s1")
-    queries = asked.join(targets, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"), F.lit(1).alias("turn"), F.col("query").alias("id")).join(clusters.select("id", "s0", "s1"), "id")
+    targets = written(clusters.select("cluster", "size").distinct().join(asked.groupBy("cluster").agg(F.count(F.lit(1)).alias("queries")), "cluster"), "jaccard-targets")
+    blocks = F.ceil(F.col("queries") / BLOCK).cast("int")  # members go to every block of queries, so none is large
+    members = clusters.drop("size").join(targets, "cluster").select("cluster", F.pmod(F.xxhash64("id"), parts).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("turn"), "id", "s0", "s1")
+    queries = asked.join(targets, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("sub"), F.pmod(F.xxhash64("query"), blocks).cast("int").alias("block"), F.lit(1).alias("turn"), F.col("query").alias("id")).join(clusters.select("id", "s0", "s1"), "id")
     rows = written(members.unionByName(queries), "jaccard-asked")
-    dealt = _with_sets(docs, rows, words).select("cluster", "sub", "turn", "id", "set").repartition("cluster", "sub").sortWithinPartitions("cluster", "sub", "turn", "id")
+    dealt = _with_sets(docs, rows, words).select("cluster", "sub", "block", "turn", "id", "set").repartition("cluster", "sub", "block").sortWithinPartitions("cluster", "sub", "block", "turn", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, union = None, [], None
         for b in batches:
             out = []
-            for cluster, sub, turn, me, s in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for cluster, sub, block, turn, me, s in zip(*(b.column(i).to_pylist() for i in range(6))):
                 s = np.frombuffer(s, np.uint64)
-                if at != (cluster, sub):
-                    at, members, union = (cluster, sub), [], None
+                if at != (cluster, sub, block):
+                    at, members, union = (cluster, sub, block), [], None
                 if turn == 0:
                     members.append((me, s))
                     continue
@@ -412,10 +529,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     A row without an id has no component and links nothing.  An empty table gives an empty one; ids are integers; other
     columns are not read.
     """
-    first = _first_pass(docs, words)
+    bits = _power((docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0) // 64, COUNTERS)
+    first = _first_pass(docs, words, bits)
     rows = first.where("part is null").select("doc_id", "n", "s0", "s1", "k0", "k1")
-    parts = _summed(first.where("part is not null"), "u4", np.add)
-    counts = np.frombuffer(b"".join(parts.get(p, bytes(4 * COUNTERS // PARTS)) for p in range(PARTS)), np.uint32)
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    heavy = _heavy(first.where("part is not null"), bits, max(LEAST, shingles // HEAVY))
     ids = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s0", "s1", "n", "k0", "k1")).alias("x"))
     ids = written(ids.select("doc_id", "x.*"), "jaccard-ids")
     classes = written(ids.groupBy("s0", "s1", "n", "k0", "k1").agg(F.min("doc_id").alias("id")), "jaccard-classes")
@@ -425,11 +543,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
         clusters = clusters.drop("cluster").join(components(links), "id", "left").select("id", "s0", "s1", F.coalesce("label", "id").alias("cluster"), "n")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     clusters = written(clusters.join(sizes, "cluster", "left").select("id", "s0", "s1", "cluster", "n", F.coalesce("size", F.lit(1)).alias("size")), "jaccard-clusters")
-    prefixes = _prefixes(docs, counts, words, share).withColumnRenamed("doc_id", "id")
-    at = F.shiftleft(F.col("n"), 34) + F.floor(F.log2("size")).cast("long")
-    listed = prefixes.join(clusters, ["id", "s0", "s1"]).select("cluster", "id", at.alias("at"), F.posexplode("tokens").alias("pos", "token"))
-    listed = listed.withColumn("at", F.col("at") + F.shiftleft(F.col("pos").cast("long"), 6))
-    asked = written(_candidates(listed.select("token", "id", "cluster", "at"), share), "jaccard-candidates")
+    prefixes = _prefixes(docs, heavy, bits, words, share).withColumnRenamed("doc_id", "id")
+    listed = prefixes.join(clusters, ["id", "s0", "s1"]).withColumn("rank", F.floor(F.log2("size")).cast("long"))
+    asked = written(_candidates(_packed(listed, 1 + shingles * (100 - share) // (100 * BUCKET)), share), "jaccard-candidates")
     if not asked.isEmpty():
         more = _opened_links(docs, asked, clusters, words, share)
         links = more if links is None else links.unionByName(more)
@@ -443,6 +559,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """The rows of docs that their component is named after, all columns: one document of each group."""
-    gone = written(jaccard_components(docs, words, share).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of docs that their component is named after, all columns, whatever their names: one document of each group."""
+    gone = written(jaccard_components(docs, words, share).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
+    few = F.broadcast(gone) if gone.count() <= SENT else gone
+    rows = docs.select(row_of(docs).alias("payload"), docs["doc_id"].alias("id"))
+    return rows.join(few, F.col("id") == F.col("gone"), "left_anti").select("payload.*")
