@@ -40,7 +40,7 @@ WORDS, SHARE = 5, 75
 #: members of a chunk or opened group, of a cluster that meet other clusters, queries of a block.
 COUNTERS, BITS, PARTS, CHUNK, DELEGATES, BLOCK = (18, 26), (16, 30), 256, 64, 8, 256
 #: At most so many shingles are heavy; least documents of a heavy one.
-HEAVY, LEAST = 1 << 22, 16
+HEAVY, LEAST = 1 << 24, 8
 #: Shingles that are packed at once, prefix shingles of a bucket.
 PACKED, BUCKET = 2_000_000, 1_000_000
 REMEMBERED = 200_000
@@ -328,7 +328,7 @@ def _needed(x: np.ndarray, y: np.ndarray, share: int) -> np.ndarray:
 
 
 def _packed(listed: DataFrame, buckets: int) -> DataFrame:
-    """bucket, data: the prefixes (id, cluster, n, rank, tokens) cut by the hash of their shingles.
+    """bucket, data: the prefixes (id, cluster, n, rank, light, tokens) cut by the hash of their shingles.
 
     A row has one bucket's shingles of as many documents as `PACKED` prefix shingles come from: they ascend, each with
     its document (an entry of a small table) and its place.
@@ -338,9 +338,10 @@ def _packed(listed: DataFrame, buckets: int) -> DataFrame:
         held, size = [], 0
 
         def done():
-            docs = np.array([x[:4] for x in held], np.int64)
-            count = np.array([len(x[4]) // WIDTH for x in held])
-            token = np.concatenate([unplaned(x[4], n, np.int64, WIDTH) for x, n in zip(held, count)])
+            docs = np.array([x[:5] for x in held], np.int64)
+            count = np.array([len(x[5]) // WIDTH for x in held])
+            docs = np.column_stack([docs, count - docs[:, 4]])
+            token = np.concatenate([unplaned(x[5], n, np.int64, WIDTH) for x, n in zip(held, count)])
             of = np.repeat(np.arange(len(held)), count)
             place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
             order = np.argsort(token, kind="stable")
@@ -358,20 +359,20 @@ def _packed(listed: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for x in zip(*(b.column(i).to_pylist() for i in range(6))):
                 held.append(x)
-                size += len(x[4]) // WIDTH
+                size += len(x[5]) // WIDTH
                 if size >= PACKED:
                     yield done()
                     held, size = [], 0
         if size:
             yield done()
 
-    return listed.select("id", "cluster", "n", "rank", "tokens").mapInArrow(run, "bucket long, data binary")
+    return listed.select("id", "cluster", "n", "rank", "light", "tokens").mapInArrow(run, "bucket long, data binary")
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    """Rows of token, id, cluster, set size, rank of the cluster by size, place."""
+    """Rows of token, id, cluster, set size, rank of the cluster by size, place, heavy ones in the prefix, whether it is one."""
     raw = zstandard.decompress(data)
     rows, docs = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     at = [16]
@@ -382,48 +383,63 @@ def unpacked(data: bytes) -> np.ndarray:
         return out
 
     token, of, place = np.cumsum(next_(rows)), next_(rows), next_(rows)
-    ids, cluster, n, rank = (next_(docs)[of] for _ in range(4))
-    return np.stack([token, ids, cluster, n, rank, place])
+    ids, cluster, n, rank, light, heavy = (next_(docs)[of] for _ in range(6))
+    return np.stack([token, ids, cluster, n, rank, place, heavy, place >= light])
 
 
 def _candidates(rows: DataFrame, share: int) -> DataFrame:
     """query, cluster: documents and larger clusters that share as many prefix shingles as some pair of theirs needs.
 
-    One shared shingle at least must stand early enough in both prefixes.  For a cluster of one class the last shared
-    place also counts: no more can follow than is left of the shorter rest.  rows: bucket, data as `_packed` gives them.
+    Documents that link share a shingle that stands early in both prefixes, before so much of each that the rest is too
+    little for a link.  A heavy shingle names only pairs for which it stands there, so those who merely share a passage
+    are not listed.  Light ones name all, and are counted: as many must be shared as a link needs, less the heavy ones
+    of the prefixes.  For clusters of one class the last shared place also counts: no more can follow than is left of
+    the shorter rest.  rows: bucket, data as `_packed` gives them.
     """
 
     far = 1 << 40
+    both_of = lambda x, y: -(-share * (x + y) // (100 + share))
 
-    def few(x: np.ndarray, most: int) -> list[np.ndarray]:
-        """Pairs of rows of one token, for tokens of at most `most` rows: all at once, by distance."""
-        out, at = [], np.arange(x.shape[1])
-        for d in range(1, most):
+    def few(x: np.ndarray) -> list[np.ndarray]:
+        """Pairs of rows of one token: all tokens at once, by distance."""
+        out, at, d = [], np.arange(x.shape[1]), 0
+        while True:
+            d += 1
             at = at[at + d < x.shape[1]]
             at = at[x[0, at] == x[0, at + d]]
             if not len(at):
-                break
+                return out
             a, b = x[:, at], x[:, at + d]
             ok = (a[2] != b[2]) & (100 * np.minimum(a[3], b[3]) >= share * np.maximum(a[3], b[3]))
+            ok &= (a[7] == 0) | (np.minimum(a[3] - a[5], b[3] - b[5]) >= both_of(a[3], b[3]))
             a, b = a[:, ok], b[:, ok]
             swap = (a[4] > b[4]) | (a[4] == b[4]) & (a[2] > b[2])  # the query is of the smaller cluster
             q, c = np.where(swap, b[1], a[1]), np.where(swap, a[2], b[2])
             # both sets may hold so many more after this place; only one class against one is told by it
-            left, both = np.minimum(a[3] - a[5], b[3] - b[5]) - 1, -(-share * (a[3] + b[3]) // (100 + share))
-            out.append(np.stack([a[0], q, c, _needed(a[3], b[3], share), np.where((a[4] == 0) & (b[4] == 0), left, far), both, left + 1 >= both]))
-        return out
+            left, both = np.minimum(a[3] - a[5], b[3] - b[5]) - 1, both_of(a[3], b[3])
+            least = _needed(a[3], b[3], share) - np.minimum(a[6], b[6])
+            out.append(np.stack([a[0], q, c, a[7] == 0, least, np.where((a[4] == 0) & (b[4] == 0), left, far), both, left + 1 >= both]))
 
     def many(x: np.ndarray) -> Iterator[np.ndarray]:
-        """The same for one token with many rows: documents against clusters."""
-        x = x[:, np.lexsort((x[2], x[4]))]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(x[2])) + 1])
-        of = np.repeat(np.arange(len(starts)), np.diff([*starts, x.shape[1]]))
-        for s in range(0, x.shape[1], 256):
-            n, o = x[3, s : s + 256, None], x[3, None, :]
-            need = np.where(100 * np.minimum(n, o) >= share * np.maximum(n, o), _needed(n, o, share), far)
-            need = np.minimum.reduceat(need, starts, axis=1)
-            q, c = np.nonzero((need < far) & (np.arange(len(starts))[None, :] > of[s : s + 256, None]))
-            yield np.stack([np.full(len(q), x[0, 0]), x[1, s + q], x[2, starts[c]], need[q, c], np.full(len(q), far), np.zeros(len(q), np.int64), np.ones(len(q), np.int64)])
+        """The same for one heavy token with many rows: documents against clusters, told by their sizes and first places."""
+        x = x[:, np.argsort(x[3], kind="stable")]
+        t = x[:, np.lexsort((x[5], x[3], x[2]))]
+        first = np.flatnonzero(np.concatenate([[True], (t[2, 1:] != t[2, :-1]) | (t[3, 1:] != t[3, :-1])]))
+        most = np.maximum.reduceat(t[6], first)
+        t = t[:, first]
+        t[6] = most
+        t = t[:, np.argsort(t[3], kind="stable")]
+        step = max(1, 2_000_000 // t.shape[1])
+        for s in range(0, x.shape[1], step):
+            q = x[:, s : s + step]
+            o = t[:, np.searchsorted(t[3], -(-share * q[3, 0] // 100)) : np.searchsorted(t[3], 100 * q[3, -1] // share, "right")]
+            n, m = q[3][:, None], o[3][None, :]
+            both = both_of(n, m)
+            ok = (n - q[5][:, None] >= both) & (m - o[5][None, :] >= both) & (100 * np.minimum(n, m) >= share * np.maximum(n, m))
+            ok &= (o[4][None, :] > q[4][:, None]) | (o[4][None, :] == q[4][:, None]) & (o[2][None, :] > q[2][:, None])
+            i, j = np.nonzero(ok & (o[2][None, :] != q[2][:, None]))
+            least = _needed(q[3, i], o[3, j], share) - np.minimum(q[6, i], o[6, j])
+            yield np.stack([np.full(len(i), x[0, 0]), q[1, i], o[2, j], np.zeros(len(i), np.int64), least, np.full(len(i), far), np.zeros(len(i), np.int64), np.ones(len(i), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(x: np.ndarray):
@@ -431,23 +447,27 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(x[0])) + 1])
             mixed_ = np.minimum.reduceat(x[2], starts) != np.maximum.reduceat(x[2], starts)
             size = np.diff([*starts, x.shape[1]])
-            for g in np.flatnonzero(mixed_ & (size > 64)):
+            large = mixed_ & (size > 64) & (x[7, starts] == 1)
+            out = few(x[:, np.repeat(mixed_ & ~large, size)])
+            for g in np.flatnonzero(large):
                 for y in many(x[:, starts[g] : starts[g] + size[g]]):
-                    yield from summed(y)
-            x = x[:, np.repeat(mixed_ & (size <= 64), size)]
-            if out := few(x, 65):
+                    out.append(y)
+                    if sum(z.shape[1] for z in out) > PACKED:
+                        yield from summed(np.concatenate(out, 1))
+                        out = []
+            if out:
                 yield from summed(np.concatenate(out, 1))
 
         def summed(y: np.ndarray):
-            """query, cluster, n (tokens shared), least (needed), rest (what may follow), both (shingles that a link shares), early."""
+            """query, cluster, n (light ones shared), all, least (light ones needed), rest (what may follow), both (shingles that a link shares), early."""
             if not y.shape[1]:
                 return
             y = y[:, np.lexsort((y[0], y[2], y[1]))]
             pair = np.concatenate([[True], (y[1, 1:] != y[1, :-1]) | (y[2, 1:] != y[2, :-1])])
             token = pair | np.concatenate([[True], y[0, 1:] != y[0, :-1]])
             starts = np.flatnonzero(pair)
-            cols = (y[1, starts], y[2, starts], np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (3, 4, 5)), np.maximum.reduceat(y[6], starts))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "least", "rest", "both", "early"])
+            cols = (y[1, starts], y[2, starts], np.add.reduceat(token * y[3], starts), np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (4, 5, 6)), np.maximum.reduceat(y[7], starts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "all", "least", "rest", "both", "early"])
 
         at, held = None, []
         for b in batches:
@@ -460,17 +480,17 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
         if held:
             yield from flush(np.concatenate(held, 1))
 
-    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "query long, cluster long, n long, least long, rest long, both long, early long")
-    pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
-    return pairs.where("n >= least and n + rest >= both and early > 0").select("query", "cluster")
+    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "query long, cluster long, n long, all long, least long, rest long, both long, early long")
+    pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
+    return pairs.where("n >= least and all + rest >= both and early > 0").select("query", "cluster")
 
 
 def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int, words: int, share: int) -> DataFrame:
-    """doc_id, tokens, s0, s1: prefixes of all texts, rare shingles first, and the digests of their sets."""
+    """doc_id, tokens, light (those before the heavy ones), s0, s1: prefixes of all texts, rare shingles first, and the digests of their sets."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY counters
 
     def run(texts: list[str]) -> dict[str, list]:
-        tokens, digests = [], []
+        tokens, light, digests = [], [], []
         at, levels = sent.value
         for s in shingle_sets(texts, words):
             mine = (s >> _U(64 - bits)).astype(np.uint32)
@@ -478,10 +498,11 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int,
             level = np.where(at[place] == mine, levels[place], 0) if len(at) else np.zeros(len(s), np.uint8)
             keep = len(s) - -(-share * len(s) // 100) + 1 if len(s) else 0
             tokens.append(planes(s[np.argsort(level, kind="stable")[:keep]], WIDTH))
+            light.append(min(keep, int((level == 0).sum())))
             digests.append(digest(s))
-        return {"tokens": tokens, "s0": [x for x, _ in digests], "s1": [x for _, x in digests]}
+        return {"tokens": tokens, "light": light, "s0": [x for x, _ in digests], "s1": [x for _, x in digests]}
 
-    return per_text(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "tokens binary, s0 long, s1 long")
+    return per_text(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "tokens binary, light int, s0 long, s1 long")
 
 
 def _opened_links(docs: DataFrame, asked: DataFrame, clusters: DataFrame, words: int, share: int) -> DataFrame:
@@ -529,7 +550,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     A row without an id has no component and links nothing.  An empty table gives an empty one; ids are integers; other
     columns are not read.
     """
-    bits = _power((docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0) // 64, COUNTERS)
+    bits = _power((docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0) // 16, COUNTERS)
     first = _first_pass(docs, words, bits)
     rows = first.where("part is null").select("doc_id", "n", "s0", "s1", "k0", "k1")
     shingles = rows.agg(F.sum("n")).first()[0] or 0
