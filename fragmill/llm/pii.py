@@ -2,7 +2,8 @@
 
 Positions come from splitting a text at a pattern and adding up the lengths of what lies between its matches.  Only
 texts that pass a cheap test meet a pattern.  The patterns are the plain ones with runs made possessive and anchored at
-a run's start, so no text costs more than its length.
+a run's start, so no text costs more than its length.  Running sums go by blocks of `HELD` spans, overlaps by binary
+search, and texts of many spans are cut from pieces of theirs, so the spans of a long text cost in proportion.
 
 The corpus tells which terms disclose: a term's disclosure is the share of its occurrences that stand in the context of
 a protected entity (`WINDOW` words within `REACH` code points on either side), its information the logarithm of that
@@ -20,12 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import row_of, text_or_empty, written
 
 #: Context words on either side, their reach, least contexts, share of occurrences and bits that disclose.
 WINDOW, REACH, CONTEXTS, DISCLOSURE, BITS = 5, 120, 2, 0.5, 4.0
 #: Expected number of terms that would pass by chance in the whole corpus.
 CHANCE = 0.001
+#: Spans of a block; texts with more are cut from pieces of so many letters.
+HELD, LENGTH = 128, 1024
 
 # The kinds, their patterns and what each text must hold to be looked at.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -39,19 +42,57 @@ _WORD = r"[^ \t\n\x0B\f\r]"
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(xs: Column, op) -> Column:
+    """For each number, what `op` makes of 0 and all before it: by blocks, then the blocks' own results."""
+
+    def run(items: Column, value) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(op(acc["at"], value(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def long(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(HELD)), lambda i: run(F.slice(v, i, F.lit(HELD)), lambda x: x))
+        return _once(blocks, lambda b: F.flatten(F.zip_with(b, run(b, lambda x: x["at"])["out"], lambda x, before: F.transform(x["out"], lambda y: op(before, y)))))
+
+    return _once(xs, lambda v: F.when(F.size(v) > HELD, long(v)).otherwise(run(v, lambda x: x)["out"]))
+
+
 def _matches(text: Column, pattern: Column, kind: int, ok) -> Column:
     """Spans of the matches that `ok` accepts, in order."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["p"])
-        e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.when(ok(x["m"]), F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["m"].alias("v")))).otherwise(acc["out"]).alias("out"))
+    def spans(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, m: F.char_length(p) + F.char_length(m))
+        ends = _once(steps, lambda v: F.zip_with(_running(v, lambda x, y: x + y), v, lambda x, y: x + y))
+        placed = F.zip_with(ends, found, lambda e, m: F.when(ok(m), F.struct((e - F.char_length(m)).alias("s"), F.lit(kind).alias("k"), e.alias("e"))))
+        return F.when(F.size(found) > 0, F.filter(placed, lambda x: x.isNotNull())).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+    return _once(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
+
+
+def _lengths(text: Column, spans: Column) -> Column:
+    """A text of many spans in lengths of `LENGTH` letters, else none."""
+    return F.when(F.size(spans) > HELD, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{LENGTH}}}"), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
 
-    pairs = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+def _cut(text: Column, lengths: Column, start: Column, size: Column) -> Column:
+    """Letters of a text from `start` (from 0), from its lengths where there are some, as substr counts from the front."""
+    first, last = F.floor(start / LENGTH).cast("int"), F.floor((start + size - 1) / LENGTH).cast("int")
+    near = F.array_join(F.slice(lengths, first + 1, F.greatest(F.lit(1), last - first + 1)), "")
+    return F.when(size <= 0, "").when(F.size(lengths) > 0, F.substr(near, start % LENGTH + 1, size)).otherwise(F.substr(text, start + 1, size))
+
+
+def _overlapped(kinds: Column, x: Column) -> Column:
+    """Whether a span of one of the kinds (arrays of spans in order, none over another) overlaps x."""
+
+    def hit(spans: Column) -> Column:
+        before = F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(28)))), F.lit(0), lambda n, p: F.when(F.get(spans, n + p - 1)["s"] < x["e"], n + p).otherwise(n))
+        return F.coalesce(F.get(spans, before - 1)["e"] > x["s"], F.lit(False))
+
+    return F.exists(kinds, hit)
 
 
 def _digits(m: Column) -> Column:
@@ -89,12 +130,17 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
     """term: what discloses a protected entity in this corpus, as a written table."""
     texts = docs.select(text_or_empty(docs).alias("text"))
     inner = F.lit(rf"(?<={_SPACE}){_WORD}+(?={_SPACE})")
-    near = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).select("text", F.explode("spans").alias("x"))
-    left = F.regexp_extract_all(F.substr("text", F.greatest(F.lit(1), F.col("x.s") + 1 - reach), F.least(F.col("x.s"), F.lit(reach))), inner, F.lit(0))
-    right = F.regexp_extract_all(F.substr("text", F.col("x.e") + 1, F.lit(reach)), inner, F.lit(0))
-    words = F.concat(F.when(F.size(left) > window, F.slice(left, -window, window)).otherwise(left), F.slice(right, 1, window))
-    entity = F.xxhash64(F.lower(F.substr("text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))))
-    seen = near.select(entity.alias("entity"), F.transform(words, _plain).alias("w")).select("entity", F.xxhash64(F.concat_ws(" ", "w")).alias("context"), F.explode("w").alias("term")).where("term <> ''")
+    near = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).withColumn("lengths", _lengths(F.col("text"), F.col("spans")))
+
+    def beside(x: Column) -> Column:
+        cut = lambda start, length: _cut(F.col("text"), F.col("lengths"), start, length)
+        first = F.greatest(F.lit(0), x["s"] - reach)
+        left, right = (F.regexp_extract_all(t, inner, F.lit(0)) for t in (cut(first, x["s"] - first), cut(x["e"], F.lit(reach))))
+        words = F.concat(F.when(F.size(left) > window, F.slice(left, -window, window)).otherwise(left), F.slice(right, 1, window))
+        return F.struct(F.xxhash64(F.lower(cut(x["s"], x["e"] - x["s"]))).alias("entity"), F.transform(words, _plain).alias("w"))
+
+    found = near.select(F.explode(F.transform("spans", beside)).alias("x")).select("x.entity", "x.w")
+    seen = found.select("entity", F.xxhash64(F.concat_ws(" ", "w")).alias("context"), F.explode("w").alias("term")).where("term <> ''")
     seen = written(seen.groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("n")), "pii-contexts")
     inside = seen.agg(F.sum("n")).first()[0] or 0
     candidates = written(seen.groupBy("term").agg(F.sum("n").alias("near"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts), "pii-candidates")
@@ -122,23 +168,22 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, reach: int = REACH,
     return written(told.select("term"), "pii-terms")
 
 
-def find_personal_data(docs: DataFrame, terms: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
-    """`columns` of docs (doc_id if None) and _spans: base spans and the disclosing terms' spans, by start, then kind."""
+def find_personal_data(docs: DataFrame, payload: Column, terms: DataFrame | None = None) -> DataFrame:
+    """payload, text and spans of each row: base spans and the disclosing terms' spans, by start, then kind."""
     terms = disclosing_terms(docs) if terms is None else terms
-    columns = columns or ["doc_id"]
-    text = text_or_empty(docs)
-    kept = [docs[f"`{c}`"] for c in columns]
+    rows = docs.select(payload.alias("payload"), docs["doc_id"].alias("id"), text_or_empty(docs).alias("text"))
     if terms.isEmpty():
-        return docs.select(*kept, base_spans(text).alias("_spans"))
-    words = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform(F.split(text, F.lit(f"{_SPACE}+")), _plain))).alias("term"))
-    hits = written(words.join(terms, "term", "left_semi").groupBy("_id").agg(F.array_sort(F.collect_set("term")).alias("_terms")), "pii-hits")
-    quoted = F.transform("_terms", lambda t: F.concat(F.lit("\\Q"), F.regexp_replace(t, F.lit(r"\\E"), F.lit(r"\\E\\\\E\\Q")), F.lit("\\E")))
+        return rows.select("payload", "text", base_spans(F.col("text")).alias("spans"))
+    words = rows.where(F.col("id").isNotNull()).select("id", F.explode(F.array_distinct(F.transform(F.split("text", F.lit(f"{_SPACE}+")), _plain))).alias("term"))
+    hits = written(words.join(terms, "term", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("wanted")), "pii-hits")
+    quoted = F.transform("wanted", lambda t: F.concat(F.lit("\\Q"), F.regexp_replace(t, F.lit(r"\\E"), F.lit(r"\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit(f"(?iu)(?<!{_WORD})(?:"), F.array_join(F.reverse(quoted), "|"), F.lit(rf")(?=[.,;:!?]*(?:{_SPACE}|\z))"))
-    more = F.when(F.col("_terms").isNotNull(), _matches(F.col("_text"), pattern, KINDS.index("term"), lambda m: F.lit(True))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    base = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*columns, "doc_id"])), text.alias("_text"))
-    joined = base.join(hits, base["doc_id"] == F.col("_id"), "left")
-    both = F.aggregate(more, base_spans(F.col("_text")), lambda acc, x: F.when(F.exists(acc, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), acc).otherwise(F.array_append(acc, x)))
-    return joined.select(*(F.col(f"`{c}`") for c in columns), F.array_sort(both).alias("_spans"))
+    more = F.when(F.col("wanted").isNotNull(), _matches(F.col("text"), pattern, KINDS.index("term"), lambda m: F.lit(True))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    joined = rows.join(hits, "id", "left").select("payload", "text", base_spans(F.col("text")).alias("base"), more.alias("more"))
+    by_kind = F.array(*(F.filter("base", lambda x, k=k: x["k"] == k) for k in range(KINDS.index("term"))))
+    joined = joined.withColumn("kinds", F.when(F.size("more") > 0, by_kind))
+    free = F.when(F.size("more") > 0, F.filter("more", lambda x: ~_overlapped(F.col("kinds"), x))).otherwise(F.col("more"))
+    return joined.select("payload", "text", F.array_sort(F.concat("base", free)).alias("spans"))
 
 
 def _named(spans: Column) -> Column:
@@ -151,29 +196,26 @@ def scan_personal_data(docs: DataFrame, terms: DataFrame | None = None) -> DataF
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind.  Null text counts as empty and has no
     spans.  Every row gives a row, repeated ones too; rows of one id share the terms looked for; a null id stays null and
-    has base spans only.  An empty table gives an empty one; other columns are not read.
+    has base spans only.  Texts of any length are read whole.  An empty table gives an empty one; other columns are not
+    read, so their names may be any.
     """
-    found = find_personal_data(docs, terms)
-    count = lambda k: F.size(F.filter("_spans", lambda x: x["k"] == k)).cast("long")
-    base = F.filter("_spans", lambda x: x["k"] < KINDS.index("term"))
-    return found.select("doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:4])), F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("_spans")).alias("spans"), count(4).alias("n_term"))
+    found = find_personal_data(docs, F.struct(docs["doc_id"]), terms)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["k"] < KINDS.index("term"))
+    return found.select("payload.doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:4])), F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"), count(4).alias("n_term"))
 
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The rows and columns of docs; in `text`, base spans become [EMAIL], [IP], [CARD], [PHONE], disclosing terms [TERM].
 
     Of overlapping spans the one that starts first goes in full and the rest of the others is cut off.  A null text
-    stays null.
+    stays null, an empty one empty; repeated rows stay; texts of any length are cut whole; other columns may have any
+    names.
     """
-    found = find_personal_data(docs, terms, docs.columns)
+    found = find_personal_data(docs, row_of(docs), terms).withColumn("before", _running(F.transform("spans", lambda x: x["e"]), F.greatest)).withColumn("lengths", _lengths(F.col("text"), F.col("spans")))
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    text = F.col("text").cast("string")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(labels, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut = lambda start, length: _cut(F.col("text"), F.col("lengths"), start, length)
+    piece = lambda x, at: F.when(x["s"] >= at, F.concat(cut(at, x["s"] - at), F.element_at(labels, x["k"] + 1))).otherwise("")
+    last = F.array_max(F.transform("spans", lambda x: x["e"]))
+    clean = F.concat(F.array_join(F.zip_with("spans", "before", piece), ""), cut(last, F.char_length("text") - last))
+    return found.select(F.col("payload").withField("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("payload.text"))).alias("payload")).select("payload.*")
