@@ -99,6 +99,6 @@ def per_text(docs: DataFrame, run: Callable[[list[str]], dict[str, list]], colum
                 out = run(texts[s])
                 kept = [b.column(i).slice(s.start, s.stop - s.start) for i in range(len(keep))]
                 made = [pa.array(out[f.name], type=f.type) for f in list(arrow)[len(keep) :]]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(kept, arrow)] + made, schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(kept, arrow)] + made, schema=arrow)
 
     return rows.mapInArrow(work, schema)

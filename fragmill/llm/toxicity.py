@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, in_blocks, per_text, text_or_empty, written
+from .shared import fold, in_blocks, per_text, row_of, text_or_empty, written
 
-#: Bound of the labelled sample, hashed slots, factors, epochs, rows a term needs in the sample.
-TRAIN_ROWS, SLOTS, FACTORS, EPOCHS, LEAST_ROWS = 16_000, 1 << 20, 4, 8, 3
-#: Letters of a word's stems; how far, in standard errors, a term's share of toxic rows must lie from that of all rows.
-STEMS, EVIDENCE = (4, 5, 6), 3.5
+#: Bound of the labelled sample, hashed slots, factors, rows a term needs in the sample, letters of a word's stems.
+TRAIN_ROWS, SLOTS, FACTORS, LEAST_ROWS, STEMS = 16_000, 1 << 20, 4, 4, (4, 5, 6)
+#: Rows of a step, steps and epochs at least, rates of weights and factors, pull of both to zero, spread of first factors.
+BATCH, STEPS, EPOCHS, RATES, PULLS, SPREAD = 128, 1000, 6, (0.1, 0.05), (3e-3, 1.5e-3), 0.03
 REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -51,46 +51,54 @@ _TERMS = Terms()
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """w (float32 by slot), v (slots x FACTORS), bias; slots without evidence stay zero."""
-    n = len(rows)
-    w, v, bias = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32), np.float32(0)
+    """w (float32 by slot), v (slots x FACTORS), bias.
+
+    Every slot of enough rows takes part, whatever its own share of toxic rows, so terms that tell only as a pair are
+    learnt.  Adaptive steps; after each, a weight is pulled to zero by a constant, a slot's factors by a constant in
+    length, so slots that do not help end at zero.
+    """
+    n, factors = len(rows), FACTORS
+    w_all, v_all = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, factors), np.float32)
     labels = np.asarray(labels, dtype=np.float32)
     if not n or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (n + 1)
-        return {"w": w, "v": v, "bias": np.float32(np.log(share / (1 - share)))}
-    flat, of = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    seen, toxic, share = np.bincount(flat, minlength=SLOTS), np.bincount(flat, of, SLOTS), labels.mean()
-    known = (seen >= LEAST_ROWS) & (np.abs(toxic - share * seen) >= EVIDENCE * np.sqrt(np.maximum(seen, 1) * share * (1 - share)))
-    rows = [r[known[r]] for r in rows]
+        return {"w": w_all, "v": v_all, "bias": np.float32(np.log(share / (1 - share)))}
+    slots = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=SLOTS) >= LEAST_ROWS)
+    place = np.full(SLOTS, -1, np.int64)
+    place[slots] = np.arange(m := len(slots))
+    kept = [x[x >= 0] for x in (place[r] for r in rows)]
+    size, flat = np.array([len(x) for x in kept]), np.concatenate(kept)
+    start = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
-    v[known] = rng.normal(0, 0.01, (int(known.sum()), FACTORS))
-    gw, gv, gb = np.full(SLOTS, 1e-2, np.float32), np.full((SLOTS, FACTORS), 1e-2, np.float32), 1e-2
+    w, v = np.zeros(m, np.float32), rng.normal(0, SPREAD, (m, factors)).astype(np.float32)
+    gw, gv, gb = np.full(m, 1e-2, np.float32), np.full((m, factors), 1e-2, np.float32), 1e-2
     bias = np.float32(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
-    rate, decay, batch = 0.08, 2e-5, 128
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
         order = rng.permutation(n)
-        for s in range(0, n, batch):
-            pick = order[s : s + batch]
-            size = np.array([len(rows[i]) for i in pick])
-            if not size.sum():
-                continue
-            flat, of = np.concatenate([rows[i] for i in pick]), np.repeat(np.arange(len(pick)), size)
-            fv = v[flat]
-            sums = np.stack([np.bincount(of, fv[:, f], len(pick)) for f in range(FACTORS)], 1).astype(np.float32)
-            z = bias + np.bincount(of, w[flat], len(pick)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (fv**2).sum(1), len(pick)))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]).astype(np.float32)
+        for s in range(0, n, BATCH):
+            pick = order[s : s + BATCH]
+            k = size[pick]
+            of = np.repeat(np.arange(len(pick)), k)
+            x = flat[np.repeat(start[pick] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            fv = v[x]
+            sums = np.stack([np.bincount(of, fv[:, f], len(pick)) for f in range(factors)], 1).astype(np.float32)
+            z = bias + np.bincount(of, w[x], len(pick)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (fv**2).sum(1), len(pick)))
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) / len(pick)).astype(np.float32)
             e = err[of]
-            slots, where = np.unique(flat, return_inverse=True)
-            dw = np.bincount(where, e, len(slots)) / len(pick) + decay * w[slots]
-            dv = np.stack([np.bincount(where, e * (sums[of, f] - fv[:, f]), len(slots)) for f in range(FACTORS)], 1) / len(pick) + decay * v[slots]
+            dw = np.bincount(x, e, m).astype(np.float32)
+            dv = np.stack([np.bincount(x, e * (sums[of, f] - fv[:, f]), m) for f in range(factors)], 1).astype(np.float32)
             dv = np.clip(dv, -1, 1)
-            gw[slots] += dw**2
-            gv[slots] += dv**2
-            gb += float(err.mean()) ** 2
-            w[slots] -= rate * dw / np.sqrt(gw[slots])
-            v[slots] -= rate * 0.2 * dv / np.sqrt(gv[slots])
-            bias -= np.float32(rate * err.mean() / np.sqrt(gb))
-    return {"w": w, "v": v, "bias": bias}
+            gw += dw**2
+            gv += dv**2
+            gb += float(err.sum()) ** 2
+            step = RATES[0] / np.sqrt(gw)
+            w -= step * dw
+            w = np.sign(w) * np.maximum(np.abs(w) - step * PULLS[0], 0)
+            v -= RATES[1] * dv / np.sqrt(gv)
+            v *= np.maximum(0, 1 - RATES[1] * PULLS[1] / np.sqrt(gv.mean(1)) / np.maximum(np.sqrt((v * v).sum(1)), 1e-12))[:, None]
+            bias -= np.float32(RATES[0] * err.sum() / np.sqrt(gb))
+    w_all[slots], v_all[slots] = w, v
+    return {"w": w_all, "v": v_all, "bias": bias}
 
 
 def score(model: dict[str, np.ndarray], terms: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     known = written(known.select(F.col("doc_id").alias("_id"), "_toxic"), "toxic-labels")
     share = min(1.0, 0.97 * train_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(train_rows)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_toxic", text_or_empty(docs).alias("_text"))  # at most train_rows ids
+    texts = docs.select(docs["doc_id"].alias("_id"), text_or_empty(docs).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_toxic", "_text")  # at most train_rows ids
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +150,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
     Null text counts as empty; empty texts get the bias alone.  Without usable labels, or with one class only, the score
     is the smoothed share of toxic rows.  Repeated rows get a row each; ids that repeat in labels are toxic if any row
-    is.  An empty table gives an empty one; other columns are not read.
+    is.  Texts of any length are read whole.  An empty table gives an empty one; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
 
@@ -153,10 +162,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs whose score is below 0.3, all columns as they were."""
+    """The rows of docs whose score is below 0.3, all columns as they were, whatever their names.
+
+    Null and empty texts have the bias alone for a score; repeated rows stay or go together; texts of any length are
+    read whole; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
 
     def run(texts: list[str]) -> dict[str, list]:
-        return {"_rejected": score(sent.value, [_TERMS.of(t) for t in texts]) >= 0.3}
+        return {"rejected": score(sent.value, [_TERMS.of(t) for t in texts]) >= 0.3}
 
-    return per_text(docs, run, "_rejected boolean", tuple(docs.columns)).where("not _rejected").drop("_rejected")
+    rows = docs.select(row_of(docs).alias("payload"), docs["text"].alias("text"))
+    return per_text(rows, run, "rejected boolean", ("payload",)).where("not rejected").select("payload.*")

@@ -274,13 +274,47 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.score_documents(d, y).collect()}
     held = [i for i, _ in rows_ if toxicity.zlib.crc32(str(i).encode()) % 4 == 2]
     hit = sum(got[i]["predicted"] == labels[i][2] for i in held) / len(held)
-    assert hit > 0.95  # only the pair of terms tells
+    assert hit > 0.95
     assert got[5000]["score"] == got[5001]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.drop_toxic(d, y).count() == sum(r["predicted"] == 0 for r in got.values())
     none = toxicity.score_documents(d, y.where("doc_id < 0"))
     assert none.select("score").distinct().count() == 1
 
 
+def test_pairs_without_evidence_of_their_own():
+    """Toxic is exactly one of two words, each in half the rows: no weight tells, only the pair does."""
+    terms, r = toxicity.Terms(), random.Random(11)
+
+    def drawn(n):
+        rows_, y = [], []
+        for _ in range(n):
+            one, other = r.random() < 0.5, r.random() < 0.5
+            w = [f"plain{r.randrange(60)}" for _ in range(r.randint(5, 40))] + ["idiots"] * one + ["neighbours"] * other
+            rows_.append(terms.of(" ".join(w)))
+            y.append(int(one != other))
+        return rows_, np.array(y)
+
+    (rows_, y), (more, z) = drawn(3000), drawn(1000)
+    model = toxicity.fit(rows_, y)
+    right = lambda m: float(((toxicity.score(m, more) >= 0.5) == (z == 1)).mean())
+    assert right(model) > 0.95 and right(model | {"v": np.zeros_like(model["v"])}) < 0.8
+    places = {t: i for i, t in enumerate(sorted({int(t) for x in rows_ for t in x}))}
+    flat = np.zeros((4000, len(places) + 1))
+    for i, x in enumerate(rows_ + more):
+        flat[i, [places[int(t)] for t in x if int(t) in places]] = 1
+    flat[:, -1] = 1  # a linear fit on the same words stays near chance
+    linear = np.linalg.lstsq(flat[:3000], y, rcond=None)[0]
+    assert 0.4 < ((flat[3000:] @ linear >= 0.5) == (z == 1)).mean() < 0.6
+
+
+def test_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(3)
+    model = {"w": rng.normal(size=toxicity.SLOTS).astype(np.float32), "v": rng.normal(size=(toxicity.SLOTS, toxicity.FACTORS)).astype(np.float32) / 4, "bias": np.float32(0.3)}
+    terms = toxicity.Terms().of("one two three four hundreds of bananas")
+    z = 0.3 + sum(float(model["w"][t]) for t in terms) + sum(float(model["v"][a].astype(float) @ model["v"][b].astype(float)) for i, a in enumerate(terms) for b in terms[:i])
+    assert abs(toxicity.score(model, [terms])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_nearest(spark):
     g = np.random.default_rng(4)
     v = g.normal(size=(400, 8)).astype(np.float32)
