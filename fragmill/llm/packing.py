@@ -3,8 +3,8 @@
 Workers cut texts into pieces; what the driver plans with is only the histogram of piece lengths, at most `capacity`
 numbers however many documents there are.  Large lengths are sorted and dealt into groups of equal cardinality, each
 rounded up to its longest; configurations of these few sizes are found by column generation and rounded down.  Actual
-lengths are then substituted, so every sequence gets back the room that rounding took, and what is left, the small
-ones above all, goes best-fit into the tightest room.  The plan is a list of runs (length, first rank, count, first
+lengths are then substituted, so every sequence gets back the room that rounding took.  The large pieces that are left
+are grouped anew, ever finer, until no configuration is used once; the small ones go best-fit into the tightest room.  The plan is a list of runs (length, first rank, count, first
 sequence, offset), all in counts.  Pieces get a rank within their length from per-partition counts, and find their run
 by binary search; no task gathers the pieces of one length.
 """
@@ -12,8 +12,10 @@ by binary search; no task gathers the pieces of one length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
 
 import numpy as np
@@ -26,41 +28,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .bpe import BYTE_VOCABULARY
 from .pretoken import ByteCutter
 from .shared import in_blocks, text_or_empty, written
+from .token_counts import encoder
 
-CAPACITY, GROUPS = 2048, 48
-#: Lengths up to these shares of a sequence count as small; the plan with the fewest sequences is taken.
-SMALL = (1 / 6, 1 / 3, 0.45, 0.5)
+#: Ids of a sequence, groups of large lengths, share of a sequence up to which a length is small, columns generated at most.
+CAPACITY, GROUPS, SMALL, ROUNDS = 2048, 768, 1 / 3, 4000
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 600_000
 
 
 class PieceCoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers."""
+    """Pre-token -> its ids as little-endian 32-bit integers, as the tokenizers library encodes it."""
 
     def __init__(self):
         super().__init__()
-        import base64
-
-        import tiktoken
-
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.one = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.library = encoder(public_tokenizers.path(BYTE_VOCABULARY))
         self.cut = ByteCutter(public_tokenizers.PATTERN)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens and special strings in order."""
+        parts = self.apart.split(text)
+        if len(parts) == 1:
+            return self.cut(text)
+        return [x for i, p in enumerate(parts) for x in ([p] if i % 2 else self.cut(p))]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text; a special string is one id, as in the library's default."""
+        cut = [self.pieces(t) for t in texts]
+        if len(self) > REMEMBERED:
             self.clear()
-        self[word] = out = np.array(self.one(word.encode("utf-8")), dtype="<u4").tobytes()
-        return out
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a text; the special string is one id, as in the library's default."""
-        parts = text.split("<|endoftext|>")
-        special = np.array([50256], dtype="<u4").tobytes()
-        return special.join(b"".join(map(self.__getitem__, self.cut(p))) for p in parts)
+        new = sorted(set().union(*cut) - self.keys() - self.special.keys())
+        self.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        self.update(self.special)
+        return [b"".join(map(self.__getitem__, c)) for c in cut]
 
 
 _CODER: list[PieceCoder] = []
@@ -88,8 +92,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             texts = b.column(1).to_pylist()
             for s in in_blocks(texts):
                 row, cols = [], ([], [], [], [], [])
-                for i in range(s.start, s.stop):
-                    whole = coder.ids(texts[i]) + b"\0\0\0\0"
+                for i, ids in zip(range(s.start, s.stop), coder.ids(texts[s])):
+                    whole = ids + b"\0\0\0\0"
                     at = 0
                     for k, n in enumerate(cut_lengths(len(whole) // 4, capacity)):
                         row.append(i)
@@ -121,33 +125,32 @@ def equal_groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[i
     return out
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 300) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns over `sizes` (slots per size) and how often to use each, by column generation rounded down."""
-    k = len(sizes)
-    basis = np.zeros((k, k))
-    for i, s in enumerate(sizes):
-        basis[i, i] = capacity // s
-    use = np.array(counts) / np.diag(basis)
-    for _ in range(rounds):
-        price = np.linalg.solve(basis.T, np.ones(k))
-        best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for i, s in enumerate(sizes):  # unbounded knapsack: the pattern of greatest price
-            if price[i] <= 1e-9:
-                continue
-            for start in range(s, capacity + 1, s):
-                part = slice(start, min(start + s, capacity + 1))
-                cand = best[start - s : part.stop - s] + price[i]
-                better = cand > best[part] + 1e-12
-                best[part] = np.where(better, cand, best[part])
-                take[part] = np.where(better, i, take[part])
-        room = int(best.argmax())
-        if best[room] <= 1 + 1e-7:
+def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns over `sizes` (slots per size) and how often to use each, a linear programme by column generation."""
+    k, size = len(sizes), np.array(sizes)
+    basis = np.diag((capacity // size).astype(float))
+    back, use = np.diag(1 / np.diag(basis)), np.array(counts) / np.diag(basis)
+    most = capacity // int(size.min())
+    room = np.arange(capacity + 1)[None, :] - size[:, None]  # what a size leaves of each capacity
+    fits, room = room >= 0, np.maximum(room, 0)
+    for turn in range(rounds):
+        if turn % 64 == 63:
+            back = np.linalg.inv(basis)
+        price = back.sum(0)
+        best, taken = np.zeros(capacity + 1), []
+        for _ in range(most):  # the pattern of greatest price, by its number of slots
+            worth = np.where(fits, best[room] + price[:, None], 0.0)
+            which = worth.argmax(0)
+            taken.append(np.where(worth[which, np.arange(capacity + 1)] > best + 1e-12, which, -1))
+            best = np.maximum(best, worth[which, np.arange(capacity + 1)])
+        if best[capacity] <= 1 + 1e-6:
             break
-        column = np.zeros(k)
-        while room > 0 and take[room] >= 0:
-            column[take[room]] += 1
-            room -= sizes[take[room]]
-        step = np.linalg.solve(basis, column)
+        column, at = np.zeros(k), capacity
+        for which in reversed(taken):
+            if (i := which[at]) >= 0:
+                column[i] += 1
+                at -= sizes[i]
+        step = back @ column
         ok = step > 1e-9
         if not ok.any():
             break
@@ -156,111 +159,135 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
         use = np.maximum(use - ratio[out] * step, 0)
         use[out] = ratio[out]
         basis[:, out] = column
-    return [(tuple(int(x) for x in basis[:, j]), int(use[j] + 1e-9)) for j in range(k) if use[j] >= 1]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The plan with the fewest sequences among those for each share in `small`."""
-    return min((plan_one(histogram, capacity, groups, x) for x in small), key=lambda p: p[1])
-
-
-def plan_one(histogram: dict[int, int], capacity: int, groups: int, small: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, count, first sequence, offset) and the number of sequences."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    rank = dict.fromkeys(left, 0)
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    rooms: dict[int, list[tuple[int, int]]] = {}  # room -> stretches (first sequence, count)
-
-    def put(length: int, count: int, sequence: int, offset: int) -> None:
-        runs.append((length, rank[length], count, sequence, offset))
-        rank[length] += count
-        left[length] -= count
-
-    large = sorted(((n, c) for n, c in left.items() if n > small * capacity), reverse=True)
-    if sum(c for _, c in large) >= 4 * groups:
-        dealt = equal_groups(large, groups)
-        merged: list[list[tuple[int, int]]] = []  # a length that fills whole groups is one size
-        for g in dealt:
-            if merged and merged[-1][0][0] == g[0][0] and len(merged[-1]) == 1:
-                merged[-1] = [(g[0][0], merged[-1][0][1] + g[0][1])] + g[1:]
-            else:
-                merged.append(list(g))
-        queues = [list(g) for g in merged]
-        for pattern, times in configurations([g[0][0] for g in merged], [sum(c for _, c in g) for g in merged], capacity):
-            slots = [i for i, n in enumerate(pattern) for _ in range(n)]
-            while times > 0:
-                # the longest stretch for which the actual lengths of all slots stay the same
-                taken: dict[int, int] = {}
-                for i in slots:
-                    taken[i] = taken.get(i, 0) + 1
-                n = times
-                lengths: dict[int, int] = {}
-                for i, t in taken.items():
-                    while queues[i] and queues[i][0][1] < t and queues[i][0][1] == 0:
-                        queues[i].pop(0)
-                    if not queues[i]:
-                        n = 0
+        row = back[out] / step[out]
+        back = back - np.outer(step, row)
+        back[out] = row
+    return [(tuple(int(x) for x in basis[:, j]), float(use[j])) for j in range(k) if use[j] > 1e-9]
+
+
+class Plan:
+    """Runs (length, first rank, count, first sequence, offset) of a histogram, as they are put."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = {n: c for n, c in histogram.items() if c > 0}
+        self.rank = dict.fromkeys(self.left, 0)
+        self.runs: list[tuple[int, int, int, int, int]] = []
+        self.opened = 0
+        self.rooms: dict[int, list[tuple[int, int]]] = {}  # room -> stretches (first sequence, count)
+
+    def put(self, length: int, count: int, sequence: int, offset: int) -> None:
+        self.runs.append((length, self.rank[length], count, sequence, offset))
+        self.rank[length] += count
+        self.left[length] -= count
+
+    def filled(self, lengths: list[int], count: int) -> None:
+        """`count` sequences, each of a piece of every one of `lengths`."""
+        offset = 0
+        for n, same in groupby(lengths):
+            for i in range(k := len(list(same))):
+                self.put(n, count, self.opened, offset + i * n)
+            offset += k * n
+        if self.capacity - offset:
+            self.rooms.setdefault(self.capacity - offset, []).append((self.opened, count))
+        self.opened += count
+
+    def substitute(self, pattern: tuple[int, ...], times: int, queues: list[list[list[int]]]) -> None:
+        """`times` sequences of a configuration: every slot gets an actual piece of its group, the longest left.
+
+        Stretches over which no slot changes its length are put at once.  A slot whose group is used up stays empty.
+        """
+        while times > 0:
+            lengths, n = [], times
+            for i, slots in enumerate(pattern):
+                q = queues[i]
+                while q and not q[0][1]:
+                    q.pop(0)
+                if slots and q and q[0][1] >= slots:
+                    n = min(n, q[0][1] // slots)
+                    lengths += [q[0][0]] * slots
+                elif slots:  # the slots of this group differ in length, so this is one sequence
+                    n, need = 1, slots
+                    for length, count in q:
+                        lengths += [length] * min(need, count)
+                        need -= min(need, count)
+            if not lengths:
+                return
+            for i, slots in enumerate(pattern):
+                need = slots * n
+                for x in queues[i]:
+                    used = min(need, x[1])
+                    x[1] -= used
+                    need -= used
+                    if not need:
                         break
-                    length, count = queues[i][0]
-                    lengths[i] = length
-                    n = min(n, max(1, count // t))
-                if n == 0:
-                    break
-                if all(queues[i][0][1] >= t for i, t in taken.items()):
-                    offset = 0
-                    for i in slots:
-                        put(lengths[i], n, opened, offset)
-                        queues[i][0] = (lengths[i], queues[i][0][1] - n)
-                        offset += lengths[i]
-                else:  # one sequence whose slots of a group have different lengths
-                    n, offset = 1, 0
-                    for i in slots:
-                        while queues[i] and queues[i][0][1] == 0:
-                            queues[i].pop(0)
-                        if not queues[i]:
-                            continue
-                        length, count = queues[i][0]
-                        put(length, 1, opened, offset)
-                        queues[i][0] = (length, count - 1)
-                        offset += length
-                if capacity - offset:
-                    rooms.setdefault(capacity - offset, []).append((opened, n))
-                opened += n
-                times -= n
-                for q in queues:
-                    while q and q[0][1] == 0:
-                        q.pop(0)
-    keys = sorted(rooms)
-    for length in sorted(left, reverse=True):
-        while left[length]:
-            i = bisect.bisect_left(keys, length)
-            if i < len(keys):  # the tightest room
-                room = keys[i]
-                first, count = rooms[room].pop()
-                n = min(count, left[length])
-                if n < count:
-                    rooms[room].append((first + n, count - n))
-                if not rooms[room]:
-                    del rooms[room], keys[i]
-            else:
-                room, n, first = capacity, max(1, left[length] // (capacity // length)), opened
-                opened += n
-            put(length, n, first, capacity - room)
-            if rest := room - length:
-                if rest not in rooms:
-                    rooms[rest] = []
-                    bisect.insort(keys, rest)
-                rooms[rest].append((first, n))
-    return runs, opened
+            self.filled(lengths, n)
+            times -= n
+
+    def group(self, smallest: int, groups: int) -> None:
+        """Large pieces by configurations of their groups' sizes; what rounding leaves is grouped anew, ever finer."""
+        while True:
+            large = sorted(((n, c) for n, c in self.left.items() if n > smallest and c), reverse=True)
+            if not large:
+                return
+            merged: list[list[tuple[int, int]]] = []  # a length that fills whole groups is one size
+            for g in equal_groups(large, groups):
+                if merged and merged[-1][0][0] == g[0][0] and len(merged[-1]) == 1:
+                    merged[-1] = [(g[0][0], merged[-1][0][1] + g[0][1])] + g[1:]
+                else:
+                    merged.append(list(g))
+            queues = [[list(x) for x in g] for g in merged]
+            found = configurations([g[0][0] for g in merged], [sum(c for _, c in g) for g in merged], self.capacity)
+            whole = [(pattern, int(use + 1e-6)) for pattern, use in found]
+            if not any(times for _, times in whole):  # only fractions are left: those of a half or more are used
+                whole = [(pattern, 1) for pattern, use in sorted(found, key=lambda x: -x[1]) if use >= 0.5]
+            if not whole:
+                return
+            before = self.opened
+            for pattern, times in whole:
+                self.substitute(pattern, times, queues)
+            if self.opened == before:
+                return
+
+    def best_fit(self) -> None:
+        """Everything left, the longest first, into the tightest room."""
+        keys = sorted(self.rooms)
+        for length in sorted(self.left, reverse=True):
+            while self.left[length]:
+                i = bisect.bisect_left(keys, length)
+                if i < len(keys):
+                    room = keys[i]
+                    first, count = self.rooms[room].pop()
+                    n = min(count, self.left[length])
+                    if n < count:
+                        self.rooms[room].append((first + n, count - n))
+                    if not self.rooms[room]:
+                        del self.rooms[room], keys[i]
+                else:
+                    room, n, first = self.capacity, max(1, self.left[length] // (self.capacity // length)), self.opened
+                    self.opened += n
+                self.put(length, n, first, self.capacity - room)
+                if rest := room - length:
+                    if rest not in self.rooms:
+                        self.rooms[rest] = []
+                        bisect.insort(keys, rest)
+                    self.rooms[rest].append((first, n))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Runs (length, first rank, count, first sequence, offset) and the number of sequences."""
+    made = Plan(histogram, capacity)
+    made.group(int(small * capacity), groups)
+    made.best_fit()
+    return made.runs, made.opened
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: all documents in sequences of at most `capacity` ids.
 
     A document is its ids, then id 0; null text counts as empty and so is one id long.  Only longer ones than a sequence
-    are cut.  Repeated rows are packed each; a null id stays null; an empty table gives an empty one; other columns are
-    not read.
+    are cut.  Repeated rows are packed each; a null id stays null; pieces of one length are alike to the plan, so ties
+    fall as rows come; texts of any length are cut whole; an empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, capacity), "pieces")

@@ -242,7 +242,7 @@ def test_packing(docs, texts):
 def test_plans(seed):
     r = random.Random(seed)
     h = {r.randint(1, 2048): r.randint(1, 400) for _ in range(r.randint(1, 300))}
-    for groups, small in ((4, (0.1,)), (48, packing.SMALL)):
+    for groups, small in ((4, 0.1), (48, packing.SMALL), (96, 0.3)):
         runs, n = packing.plan(dict(h), 2048, groups, small)
         seen, fill = {}, {}
         for length, rank, count, first, offset in runs:
@@ -259,6 +259,21 @@ def test_plans(seed):
             assert at <= 2048
 
 
+def test_configurations_hold_large_pieces_and_waste_little():
+    r = random.Random(9)
+    h = {}
+    for _ in range(6000):
+        n = min(2048, max(2, int(r.lognormvariate(6.2, 0.9))))
+        h[n] = h.get(n, 0) + 1
+    runs, n = packing.plan(h)
+    bound = -(-sum(k * c for k, c in h.items()) // 2048)
+    large = {}
+    for length, _, count, first, _ in runs:
+        for q in range(first, first + count if length > 2048 * packing.SMALL else first):
+            large[q] = large.get(q, 0) + 1
+    assert n <= bound + 2 and sum(c > 1 for c in large.values()) > 300
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     plain = [f"w{i}" for i in range(60)]
