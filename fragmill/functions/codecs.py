@@ -29,12 +29,23 @@ xxh64_low = over(IntegerType(), lambda x: xxhash.xxh64_intdigest(x) & 0xFF)
 adler = over(LongType(), lambda x: zlib.adler32(x))
 
 
+def _crc8_table() -> bytes:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x << 1 ^ 0x07) & 0xFF if x & 0x80 else x << 1
+        out.append(x)
+    return bytes(out)
+
+
+_CRC8 = _crc8_table()
+
+
 def _crc8(data: bytes) -> int:
+    """The checksum of headers, a look-up for each byte."""
     crc = 0
     for byte in data:
-        crc ^= byte
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x07) & 0xFF if crc & 0x80 else crc << 1
+        crc = _CRC8[crc ^ byte]
     return crc
 
 

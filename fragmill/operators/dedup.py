@@ -56,3 +56,20 @@ def chain(versions: DataFrame, object_id: str = "object_id", version: str = "ver
     """versions with the one before, and whether it is the latest."""
     w = Window.partitionBy(object_id).orderBy(version)
     return versions.withColumn("previous", F.lag(version).over(w)).withColumn("is_latest", F.lead(version).over(w).isNull())
+
+
+def dictionary(samples: DataFrame, least: tuple[int, int] = (2, 3), entries: int = 4096) -> DataFrame:
+    """gram (hex), freq, score: the n-grams of `content` that save most, `entries` at most, as a dictionary has room for.
+
+    Those of eight bytes that occur at least `least[0]` times; if there are none, those of four bytes and `least[1]`.
+    Counts are partial aggregates; ties go by the gram.
+    """
+
+    def counted(n: int, often: int) -> DataFrame:
+        x = samples.where(F.octet_length("content") >= n).select(F.hex("content").alias("x"))
+        grams = x.select(F.explode(F.transform(F.sequence(F.lit(0), (F.length("x") / 2).cast("int") - n), lambda i: F.substr("x", (2 * i + 1).cast("int"), F.lit(2 * n)))).alias("gram"))
+        return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= often).withColumn("score", F.col("freq") * n)
+
+    long = counted(8, least[0])
+    chosen = counted(4, least[1]) if long.isEmpty() else long
+    return chosen.orderBy(F.desc("score"), "gram").limit(entries)

@@ -85,3 +85,68 @@ def fountain_recovery(content: bytes, size: int, code: str, lost: np.ndarray) ->
     broken[lost] = 0
     back, still = fountain.decoded(broken, lost, equations, values)
     return back.tobytes()[: len(content)], int(still.sum())
+
+
+# ---- two-dimensional parity: a check row over all fragments, two check cells of 16 bytes for each fragment
+
+CELL, CHECKS = 16, 2
+
+
+def grid_encoded(fragments: list[bytes]) -> list[bytes]:
+    """Data fragments, the check row, then the check cells packed into fragments of the same size."""
+    size = max((len(f) for f in fragments), default=0)
+    if not size:
+        return list(fragments)
+    rows = matrix(b"".join(f.ljust(-(-size // CELL) * CELL, b"\0") for f in fragments), -(-size // CELL) * CELL)
+    cells = b"".join(column_parity(r, CELL).tobytes() for r in rows)
+    held = max(1, size // CELL) * CELL
+    return [*fragments, galois.encode(rows, 1)[0].tobytes(), *(cells[i : i + held] for i in range(0, len(cells), held))]
+
+
+def grid_decoded(available: dict[int, bytes], missing: list[int], sizes: list[int]) -> dict[int, bytes]:
+    """Missing data fragments, as far as they come back; those that do not are zeros, cut to their sizes.
+
+    One missing fragment comes from the check row.  Of more, each comes from its own check cells if it has no more cells
+    than these; the check row has to be there, as it marks a complete set.
+    """
+    k, size = len(sizes), max((len(f) for f in available.values()), default=0)
+    wide = -(-size // CELL) * CELL
+    rows = {i: np.frombuffer(available[i].ljust(wide, b"\0"), np.uint8) for i in range(k) if i in available}
+    wanted = [i for i in missing if i < k]
+    held = max(1, size // CELL)
+    out = {i: np.zeros(wide, np.uint8) for i in wanted}
+    if k in available:
+        if len(wanted) == 1 and len(rows) == k - 1:
+            check = np.frombuffer(available[k].ljust(wide, b"\0"), np.uint8)
+            out[wanted[0]] = galois.decode({**rows, k: check}, k, wide)[wanted[0]]
+        for i in wanted:
+            cells = out[i].reshape(-1, CELL)
+            empty = [r for r in range(len(cells)) if not cells[r].any()]
+            checks = {}
+            for p in range(CHECKS):
+                part, at = divmod(i * CHECKS + p, held)
+                if k + 1 + part in available:
+                    checks[len(cells) + p] = np.frombuffer(available[k + 1 + part][at * CELL : (at + 1) * CELL], np.uint8)
+            if empty and len(empty) <= len(checks):
+                known = {r: cells[r] for r in range(len(cells)) if r not in empty}
+                out[i] = galois.decode({**known, **checks}, len(cells), CELL).reshape(-1)
+    return {i: x.tobytes()[: sizes[i]] for i, x in out.items()}
+
+
+def rebuilt(fragments: list[bytes], size: int, code: str, bad: dict[int, set[int]], repair: np.ndarray, blocks: int) -> list[bytes] | None:
+    """Fragments with their bad blocks rebuilt from symbols over all fragments' blocks in a row.
+
+    bad: places of bad blocks by fragment; `blocks` is the number that the symbols were made of.  None if the fragments
+    have another number of blocks; blocks that do not come back stay as they were.
+    """
+    offsets = np.cumsum([0] + [-(-len(f) // size) for f in fragments])
+    if offsets[-1] != blocks:
+        return None
+    rows = np.concatenate([matrix(f, size) for f in fragments]) if blocks else np.zeros((0, size), np.uint8)
+    lost = np.zeros(blocks, bool)
+    for i, places in bad.items():
+        lost[[offsets[i] + x for x in places]] = True
+    equations = (fountain.lt_equations if code == "lt" else fountain.duip_equations)(blocks)
+    back, still = fountain.decoded(np.where(lost[:, None], 0, rows).astype(np.uint8), lost, equations, repair)
+    back[still] = rows[still]
+    return [back[offsets[i] : offsets[i + 1]].tobytes()[: len(f)] for i, f in enumerate(fragments)]

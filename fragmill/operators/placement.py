@@ -53,3 +53,37 @@ def status(expected: DataFrame, available: DataFrame, keys: list[str]) -> DataFr
     there = available.select(*keys, F.col("hash").alias("_got"), F.lit(True).alias("_there"))
     state: Column = F.when(F.col("_there").isNull(), "missing").when(F.col("hash").isNull() | (F.col("hash") == F.col("_got")), "ok").otherwise("corrupted")
     return expected.join(there, keys, "left").withColumn("status", state).drop("_got", "_there")
+
+
+def pushed(local: DataFrame, located: DataFrame, backends: DataFrame, keys: tuple[str, ...] = ("object_id", "frag_idx")) -> DataFrame:
+    """keys, backend, pushed: the catalogue after a push.  What is located stays; the rest is placed and recorded."""
+    new = placed(to_push(local, located, list(keys)), backends)
+    columns = [*keys, "backend"]
+    return located.select(*columns, F.lit(False).alias("pushed")).unionByName(new.select(*columns, F.lit(True).alias("pushed")))
+
+
+def pull_list(located: DataFrame, local: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """version, files, to_pull, bytes (n of located), versions ascending: what a pull would do."""
+    seen = located.join(local, keys, "left").withColumn("_pull", ~F.col("catalog_hash").eqNullSafe(F.col("local_hash")))
+    return seen.groupBy(version).agg(F.count(F.lit(1)).alias("files"), F.count_if("_pull").alias("to_pull"), F.sum("n").alias("bytes")).orderBy(version)
+
+
+def with_factories(remotes: DataFrame, factories: DataFrame) -> DataFrame:
+    """remotes (kind, ...) with the factory of their kind, in either case; null if none is registered."""
+    f = factories.select(F.lower("kind").alias("_kind"), "factory")
+    return remotes.join(f, F.lower(remotes["kind"]) == F.col("_kind"), "left").drop("_kind")
+
+
+def canonical(indexes: DataFrame, key: str = "object_id", validation: str = "fss6") -> DataFrame:
+    """key, hash: digests of index rows without their validation fields, whose names start with `validation`."""
+    fields = [F.col(f"`{c}`").cast("string") for c in indexes.columns if not c.startswith(validation)]
+    return indexes.select(key, F.sha2(F.concat_ws("|", *fields), 256).alias("hash"))
+
+
+def batches(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
+    """rows with `batch`: the number of the run of equal flags that a row belongs to, from 1."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(order)
+    starts = (~F.col(flag).eqNullSafe(F.lag(flag).over(w))).cast("int")
+    return rows.withColumn("_s", starts).withColumn("batch", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_s")

@@ -19,7 +19,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load():
-    from . import chunk_queries, code_queries, dedup_queries, diff_queries, format_queries, placement_queries, planner_queries, validation_queries  # noqa: F401
+    from . import chunk_queries, code_queries, dedup_queries, diff_queries, format_queries, placement_queries, planner_queries, recovery_queries, store_queries, validation_queries, version_queries  # noqa: F401
 
 
 def queries():

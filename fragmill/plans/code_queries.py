@@ -127,7 +127,7 @@ def row_parity(spark, sf_dir):
         p = parity.row_parity(content, 256).astype(np.int64)
         return int((p * np.arange(1, len(p) + 1)).sum()), int(p.sum())
 
-    return parity.per_object(objects(spark, sf_dir).where(F.octet_length("content") > 0), run, "checksum long, total long")
+    return parity.per_object(objects(spark, sf_dir).where(F.octet_length("content") > 0), run, "checksum long, total long")  # an empty object has no row to add up
 
 
 @register(
@@ -218,7 +218,7 @@ def edges(spark, sf_dir, code: str):
         for b in batches:
             for k in b["blocks"]:
                 eq = (fountain.lt_equations if code == "lt" else fountain.duip_equations)(int(k))
-                s, m = np.nonzero(eq)
+                s, m = np.repeat(np.arange(len(eq)), [len(e) for e in eq]), np.concatenate([*eq, np.empty(0, np.int64)])
                 yield pd.DataFrame({"blocks": np.full(len(s), k, np.int32), "symbol_id": s.astype(np.int32), "member": m.astype(np.int32)})
 
     return kinds.mapInPandas(run, "blocks int, symbol_id int, member int")

