@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from .pretoken import ByteCutter
-from .shared import per_text
+from .shared import in_use, per_text
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pre-tokens that are indexed together, and those that a worker remembers.
@@ -153,6 +153,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
+    in_use(_CODECS)
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]

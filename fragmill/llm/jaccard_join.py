@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, in_blocks, per_text, row_of, text_or_empty, written
+from .shared import in_blocks, in_use, per_text, row_of, text_or_empty, written
 
 WORDS, SHARE = 5, 75
 #: Least and most counters of the sketch and bits of a membership map (as powers of two), parts in which both travel,
@@ -70,6 +70,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's shingles; one for the whole of a shorter text, none without words."""
+    in_use(_WORDS)
     cut = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: lower-cases A-Z, splits at [ \t\n\v\f\r]
     size = [len(w) for w in cut]
     h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(cut)), np.uint64, sum(size))

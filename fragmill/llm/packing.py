@@ -30,13 +30,13 @@ from pyspark.sql.types import StructType
 
 from .bpe import BYTE_VOCABULARY
 from .pretoken import ByteCutter
-from .shared import in_blocks, text_or_empty, written
+from .shared import in_blocks, in_use, text_or_empty, written
 from .token_counts import encoder
 
 #: Ids of a sequence, groups of large lengths, share of a sequence up to which a length is small, columns generated at most.
 CAPACITY, GROUPS, SMALL, ROUNDS = 2048, 768, 1 / 3, 4000
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class PieceCoder(dict):
@@ -85,6 +85,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_use(_CODER)
         if not _CODER:
             _CODER.append(PieceCoder())
         coder, part, seen = _CODER[0], TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)

@@ -67,6 +67,17 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
+_IN_USE: list = []
+
+
+def in_use(cache) -> None:
+    """Names the cache of the operator at work; the one that was before is emptied, so a worker holds one at a time."""
+    if not _IN_USE or _IN_USE[0] is not cache:
+        for c in _IN_USE:
+            c.clear()
+        _IN_USE[:] = [cache]
+
+
 #: Code points of text that a worker takes at once.
 HELD = 1_500_000
 

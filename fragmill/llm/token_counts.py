@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from .pretoken import beyond, word_cut
-from .shared import per_text, text_or_empty
+from .shared import in_use, per_text, text_or_empty
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Rows that choose the broadcast table, its entries, their longest, and what a worker's cache may hold.
@@ -93,6 +93,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
 
     def run(texts: list[str]) -> dict[str, list]:
         key, frequent = sent.value
+        in_use(_LENGTHS)
         if key not in _LENGTHS:
             _LENGTHS.clear()
             _LENGTHS[key] = Lengths(path, frequent)

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, in_blocks, per_text, row_of, text_or_empty, written
+from .shared import fold, in_blocks, in_use, per_text, row_of, text_or_empty, written
 
 #: Bound of the labelled sample, hashed slots, factors, rows a term needs in the sample, letters of a word's stems.
 TRAIN_ROWS, SLOTS, FACTORS, LEAST_ROWS, STEMS = 16_000, 1 << 20, 4, 4, (4, 5, 6)
 #: Rows of a step, steps and epochs at least, rates of weights and factors, pull of both to zero, spread of first factors.
 BATCH, STEPS, EPOCHS, RATES, PULLS, SPREAD = 128, 1000, 6, (0.1, 0.05), (3e-3, 1.5e-3), 0.03
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -40,6 +40,7 @@ class Terms(dict):
 
     def of(self, text: str) -> np.ndarray:
         """The distinct slots of a text, ascending."""
+        in_use(self)
         slots: set[int] = set()
         slots.update(*map(self.__getitem__, set(_WORD.findall(text.lower()))))
         out = np.fromiter(slots, dtype=np.int32, count=len(slots))
@@ -63,11 +64,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str,
     if not n or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (n + 1)
         return {"w": w_all, "v": v_all, "bias": np.float32(np.log(share / (1 - share)))}
-    slots = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=SLOTS) >= LEAST_ROWS)
-    place = np.full(SLOTS, -1, np.int64)
+    seen = np.zeros(SLOTS, np.int32)
+    for r in rows:
+        seen[r] += 1  # the slots of a row are distinct
+    slots = np.flatnonzero(seen >= LEAST_ROWS)
+    place = np.full(SLOTS, -1, np.int32)
     place[slots] = np.arange(m := len(slots))
-    kept = [x[x >= 0] for x in (place[r] for r in rows)]
-    size, flat = np.array([len(x) for x in kept]), np.concatenate(kept)
+    size = np.array([int((seen[r] >= LEAST_ROWS).sum()) for r in rows])
+    flat = np.empty(int(size.sum()), np.int32)
+    for r, n, end in zip(rows, size, np.cumsum(size)):
+        x = place[r]
+        flat[end - n : end] = x[x >= 0]
     start = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     w, v = np.zeros(m, np.float32), rng.normal(0, SPREAD, (m, factors)).astype(np.float32)
