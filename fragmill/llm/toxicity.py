@@ -72,9 +72,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str,
     place[slots] = np.arange(m := len(slots))
     size = np.array([int((seen[r] >= LEAST_ROWS).sum()) for r in rows])
     flat = np.empty(int(size.sum()), np.int32)
-    for r, n, end in zip(rows, size, np.cumsum(size)):
+    for r, end in zip(rows, np.cumsum(size)):
         x = place[r]
-        flat[end - n : end] = x[x >= 0]
+        flat[end - (x >= 0).sum() : end] = x[x >= 0]
     start = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     w, v = np.zeros(m, np.float32), rng.normal(0, SPREAD, (m, factors)).astype(np.float32)
