@@ -15,6 +15,7 @@ import regex
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _BEYOND = re.compile("[^\x00-ɏ]")
 _BYTE_NEAR = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD_FAR = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WORD_NEAR = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
@@ -33,5 +34,7 @@ class ByteCutter:
 
 
 def word_cut(text: str) -> list[str]:
-    """Pre-tokens of the lower-casing word vocabulary, for texts that are not `beyond`."""
-    return _WORD_NEAR.findall(unicodedata.normalize("NFC", text).lower())
+    """Pre-tokens of the lower-casing word vocabulary.  A capital sigma has one small form, wherever it stands."""
+    near = not beyond(text)
+    text = unicodedata.normalize("NFC", text)
+    return _WORD_NEAR.findall(text.lower()) if near else _WORD_FAR.findall(text.replace("\u03a3", "\u03c3").lower())

@@ -47,8 +47,12 @@ def _near(part: tuple[int, int], starts: list[int], ends: list[int], scope: int)
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, str, int]]:
     """(start, kind, end) of weak parts that complementary parts complete: kinds endpoint, identifier, part."""
-    held = [(s, e) for s, _, e in base]
-    free = lambda m, n=0: not any(s < m.end(n) and m.start(n) < e for s, e in held[max(0, bisect_left(held, (m.start(n), 0)) - 2) : bisect_left(held, (m.end(n), 0))])
+    held = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # spans of one kind do not overlap
+
+    def free(m: re.Match, n: int = 0) -> bool:
+        before = (spans[bisect_left(spans, (m.end(n), 0)) - 1 : bisect_left(spans, (m.end(n), 0))] for spans in held)
+        return not any(e > m.start(n) for last in before for _, e in last)
+
     weak_id = [m.span(1) for m in IDENTIFIER.finditer(text) if free(m, 1)]
     strong_id = [(s, e) for s, k, e in base if k == 1]
     weak_secret = [m.span() for m in BARE.finditer(text) if free(m) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
@@ -81,6 +85,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked (weak parts reported) of each whole text.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind.  Null text counts as empty and has no
-    spans.  Every row gives a row, repeated ones too; a null id stays null; other columns are not read.
+    spans.  Every row gives a row, repeated ones too; a null id stays null; texts of any length are read whole; an empty
+    table gives an empty one; other columns are not read.
     """
     return per_text(docs, lambda texts: find(texts, scope), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
