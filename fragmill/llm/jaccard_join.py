@@ -41,8 +41,8 @@ WORDS, SHARE = 5, 75
 COUNTERS, BITS, PARTS, CHUNK, DELEGATES, BLOCK = (18, 26), (16, 30), 256, 64, 8, 256
 #: At most so many shingles are heavy; least documents of a heavy one.
 HEAVY, LEAST = 1 << 24, 8
-#: Shingles that are packed at once, prefix shingles of a bucket.
-PACKED, BUCKET = 2_000_000, 1_000_000
+#: Shingles that are packed at once, prefix shingles of a bucket, parts of a bucket that are compared one by one.
+PACKED, BUCKET, SLICES = 1_000_000, 1_000_000, 8
 REMEMBERED = 200_000
 #: Rows of numbers that are broadcast at most, some 20 MB; with more, both sides are shuffled.
 SENT = 200_000
@@ -340,11 +340,11 @@ def _packed(listed: DataFrame, buckets: int) -> DataFrame:
 
         def done():
             docs = np.array([x[:5] for x in held], np.int64)
-            count = np.array([len(x[5]) // WIDTH for x in held])
+            count = np.array([len(x[5]) // WIDTH for x in held], np.int32)
             docs = np.column_stack([docs, count - docs[:, 4]])
             token = np.concatenate([unplaned(x[5], n, np.int64, WIDTH) for x, n in zip(held, count)])
-            of = np.repeat(np.arange(len(held)), count)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            of = np.repeat(np.arange(len(held), dtype=np.int32), count)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in count])
             order = np.argsort(token, kind="stable")
             order = order[np.argsort(token[order] % buckets, kind="stable")]
             token, of, place = token[order], of[order], place[order]
@@ -430,7 +430,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
         t = t[:, first]
         t[6] = most
         t = t[:, np.argsort(t[3], kind="stable")]
-        step = max(1, 2_000_000 // t.shape[1])
+        step = max(1, 500_000 // t.shape[1])
         for s in range(0, x.shape[1], step):
             q = x[:, s : s + step]
             o = t[:, np.searchsorted(t[3], -(-share * q[3, 0] // 100)) : np.searchsorted(t[3], 100 * q[3, -1] // share, "right")]
@@ -453,7 +453,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             for g in np.flatnonzero(large):
                 for y in many(x[:, starts[g] : starts[g] + size[g]]):
                     out.append(y)
-                    if sum(z.shape[1] for z in out) > PACKED:
+                    if sum(z.shape[1] for z in out) > PACKED // 4:
                         yield from summed(np.concatenate(out, 1))
                         out = []
             if out:
@@ -470,16 +470,24 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
             cols = (y[1, starts], y[2, starts], np.add.reduceat(token * y[3], starts), np.add.reduceat(token.astype(np.int64), starts), *(np.minimum.reduceat(y[k], starts) for k in (4, 5, 6)), np.maximum.reduceat(y[7], starts))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query", "cluster", "n", "all", "least", "rest", "both", "early"])
 
-        at, held = None, []
+        at, held = None, [[] for _ in range(SLICES)]
+
+        def done():
+            for part in held:
+                if part:
+                    yield from flush(np.concatenate(part, 1))
+                part.clear()
+
         for b in batches:
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bucket != at and held:
-                    yield from flush(np.concatenate(held, 1))
-                    held = []
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if bucket != at:
+                    yield from done()
                 at = bucket
-                held.append(unpacked(data))
-        if held:
-            yield from flush(np.concatenate(held, 1))
+                x = unpacked(data.as_py())
+                part = mixed(x[0].view(np.uint64)) % _U(SLICES)
+                for k in np.unique(part):
+                    held[k].append(x[:, part == k])
+        yield from done()
 
     shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "query long, cluster long, n long, all long, least long, rest long, both long, early long")
     pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
