@@ -1,10 +1,12 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt into shards by a hash of their id, so equal vectors spread evenly.  Each shard becomes one tree,
-stored as arrays in a row.  Queries travel in blocks to every shard; rows are sorted so that a task sees a shard's tree
-and then its query blocks one by one, holding one tree and one block.  A subtree whose triangle-inequality bound times
-`factor` exceeds the query's k-th distance is skipped: factor one is exact, larger ones skip more.  Splits go by rank,
-not by value, so any number of equal vectors still halves.
+Vectors go to the ball of their nearest pivot, of a bounded number of pivots; a ball of many rows is dealt into shards by
+a hash of the id, so that even one vector that a third of all rows hold spreads evenly.  Each shard becomes one tree,
+stored as arrays in a row.  A query first searches the shard it lies in.  Its k-th distance there tells which balls the
+triangle inequality cannot exclude, and only their shards are asked as well, in blocks of queries; a task sees a shard's
+tree and then its blocks one by one, holding one tree and one block.  Within a tree a subtree is skipped likewise.  Every
+bound is multiplied by `factor`: one is exact, more skips more.  Splits go by rank, not by value, so any number of equal
+vectors still halves.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Vectors of a shard, shards at least, queries of a block, vectors of a leaf.
-SHARD_ROWS, LEAST_SHARDS, BLOCK, LEAF = 4096, 64, 256, 48
+#: Vectors of a shard, least and most pivots, queries of a block, vectors of a leaf.
+SHARD_ROWS, PIVOTS, BLOCK, LEAF = 4096, (16, 256), 256, 48
 
 
 class Tree:
@@ -55,8 +57,9 @@ class Tree:
             grow(0, len(ids))
         return cls(ids[order], vectors[order], np.array(nodes, np.int64).reshape(-1, 5), np.array(bounds, np.float64).reshape(-1, 4))
 
-    def search(self, qids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of each query's k nearest; inf where there are fewer."""
+    def search(self, qids: np.ndarray, queries: np.ndarray, k: int, factor: float, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of each query's k nearest, as far as within `limits`; inf where there are fewer."""
+        limits = np.full(len(qids), np.inf) if limits is None else limits
         best = np.full((len(qids), k), np.inf)
         found = np.full((len(qids), k), np.iinfo(np.int64).max)
 
@@ -83,15 +86,21 @@ class Tree:
             closer = inner <= outer
             for mine, turns in ((closer, ((near, inner), (far, outer))), (~closer, ((far, outer), (near, inner)))):
                 for child, bound in turns:
-                    go = mine & (bound * factor <= best[q, -1] * (1 + 1e-12) + 1e-12)
+                    go = mine & within(bound * factor, np.minimum(best[q, -1], limits[q]))
                     if go.any():
                         visit(child, q[go])
 
         if len(self.ids) and len(qids):
             visit(0, np.arange(len(qids)))
+        best[~within(best, limits[:, None])] = np.inf
         return best, found
 
 
+def within(bound: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether a bound does not exceed a limit, with room for rounding."""
+    return bound <= limit * (1 + 1e-12) + 1e-12
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean, in double precision, from differences."""
     out = np.empty((len(a), len(b)))
@@ -109,37 +118,53 @@ def usable(vectors: DataFrame, column: str, id_column: str) -> DataFrame:
     return vectors.where(F.col(id_column).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_column).cast("long").alias("_id"), v.alias("_v"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, column: str = "embedding", id_column: str = "vec_id") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest of every row that `is_query` (a Column) holds for.
+_TREE = "shard long, turn int, ids binary, vectors binary, nodes binary, bounds binary, limits binary, dim int"
 
-    Nearest first, ties to the smaller id; fewer rows where there are fewer candidates.  Rows without an id or a usable
-    vector take no part, nor does a vector of another dimension than the query's.  Rows that share the query's id are
-    not its candidates; other repeated rows count each.  An empty table gives an empty one.
-    """
-    schema = "shard int, turn int, ids binary, vectors binary, nodes binary, bounds binary, dim int"
-    rows = written(usable(vectors, column, id_column).select("_id", "_v", F.size("_v").alias("dim")), "vectors")
-    shards = max(LEAST_SHARDS, rows.count() // SHARD_ROWS)
-    asked = rows.where(is_query(F.col("_id")))
-    blocks = max(1, asked.count() // BLOCK)
-
-    def block(kind: int):
-        def run(group: pa.Table) -> pa.Table:
-            ids = group["_id"].to_numpy()
-            dim = group["dim"][0].as_py()
-            v = group["_v"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-            shard, nodes, bounds = group["part"][0].as_py(), b"", b""
-            if kind == 0:
-                t = Tree.build(ids, v)
-                ids, v, nodes, bounds = t.ids, t.vectors, t.nodes.tobytes(), t.bounds.tobytes()
-            return pa.table({"shard": pa.array([shard], pa.int32()), "turn": pa.array([kind], pa.int32()), "ids": [ids.tobytes()], "vectors": [np.ascontiguousarray(v).tobytes()], "nodes": [nodes], "bounds": [bounds], "dim": pa.array([dim], pa.int32())})
 
-        return run
+class Balls:
+    """Pivots by dimension and, once they are known, radius, shards and first shard of each ball."""
 
-    part = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
-    trees = rows.withColumn("part", part(shards)).groupBy("part", "dim").applyInArrow(block(0), schema)
-    asks = asked.withColumn("part", part(blocks)).groupBy("part", "dim").applyInArrow(block(1), schema)
-    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = trees.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "turn")
+    def __init__(self, pivots: list[tuple[int, list[float]]]):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim in sorted({d for d, _ in pivots}):
+            at = [i for i, (d, _) in enumerate(pivots) if d == dim]
+            self.of[dim] = np.array(at), np.array([pivots[i][1] for i in at])
+        self.shards: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def placed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest pivot and distance of vectors of one dimension; ball -1 without a pivot, to which no bound applies."""
+        if vectors.shape[1] not in self.of:
+            return np.full(len(vectors), -1), np.zeros(len(vectors))
+        at, pivots = self.of[vectors.shape[1]]
+        d = distances(vectors, pivots)
+        near = d.argmin(1)
+        return at[near], d[np.arange(len(d)), near]
+
+    def asked(self, vectors: np.ndarray, limits: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards, and which of the vectors may find something within their limits there."""
+        dim = vectors.shape[1]
+        at, pivots = self.of.get(dim, (np.empty(0, np.int64), np.empty((0, dim))))
+        d = distances(vectors, pivots)
+        for (ball, of), (radius, shards, first) in self.shards.items():
+            if of != dim:
+                continue
+            bound = np.maximum(d[:, int(np.flatnonzero(at == ball)[0])] - radius, 0) if ball >= 0 else np.zeros(len(vectors))
+            hit = np.flatnonzero(within(bound * factor, limits))
+            if len(hit):
+                for shard in range(first, first + shards):
+                    yield shard, hit
+
+
+def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """dim, places and vectors of a batch with columns dim and _v."""
+    dims = b.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), at, b.column("_v").take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
+
+
+def _searched(trees: DataFrame, asks: DataFrame, k: int, factor: float) -> DataFrame:
+    """query_id, vec_id, score: what the blocks of queries find in the trees of their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree = None, None
@@ -147,12 +172,87 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, colu
             for r in b.to_pylist():
                 ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
                 if r["turn"] == 0:
-                    at, tree = (r["shard"], r["dim"]), Tree(ids, v, np.frombuffer(r["nodes"], np.int64).reshape(-1, 5), np.frombuffer(r["bounds"]).reshape(-1, 4))
-                elif at == (r["shard"], r["dim"]):
-                    d, found = tree.search(ids, v, k, factor)
+                    at, tree = r["shard"], Tree(ids, v, np.frombuffer(r["nodes"], np.int64).reshape(-1, 5), np.frombuffer(r["bounds"]).reshape(-1, 4))
+                elif at == r["shard"]:
+                    d, found = tree.search(ids, v, k, factor, np.frombuffer(r["limits"]))
                     ok = np.isfinite(d)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(found[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
 
-    near = both.mapInArrow(run, "query_id long, vec_id long, score double")
+    both = trees.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "turn")
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, column: str = "embedding", id_column: str = "vec_id") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest of every row that `is_query` (a Column) holds for.
+
+    Nearest first, ties to the smaller id; fewer rows where there are fewer candidates.  Rows without an id or a usable
+    vector take no part, nor does a vector of another dimension than the query's.  Rows that share the query's id are
+    not its candidates; other repeated rows count each; queries that repeat an id are ranked as one.  An empty table
+    gives an empty one; other columns are not read.
+    """
+    spark = vectors.sparkSession
+    rows = written(usable(vectors, column, id_column).select("_id", "_v", F.size("_v").alias("dim")), "vectors")
+    number = min(PIVOTS[1], max(PIVOTS[0], rows.count() // SHARD_ROWS))
+    picked = rows.orderBy(F.xxhash64("_id"), "_id").limit(number).collect()  # PIVOTS[1] vectors at most
+    balls = Balls([(r["dim"], list(r["_v"])) for r in picked])
+    sent = spark.sparkContext.broadcast(balls)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ball, far = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            for _, at, v in _by_dim(b):
+                ball[at], far[at] = sent.value.placed(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ball, pa.int32()), pa.array(far)], names=[*b.schema.names, "ball", "far"])
+
+    placed = written(rows.mapInArrow(place, "_id long, _v array<double>, dim int, ball int, far double"), "placed")
+    first = 0
+    for r in sorted(placed.groupBy("ball", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()):  # balls
+        balls.shards[r["ball"], r["dim"]] = (r["radius"], -(-r["n"] // SHARD_ROWS), first)
+        first += -(-r["n"] // SHARD_ROWS)
+    known = spark.createDataFrame([(b, d, s, f) for (b, d), (_, s, f) in balls.shards.items()], "ball int, dim int, shards int, first long")
+    dealt = placed.join(F.broadcast(known), ["ball", "dim"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("_id"), F.col("shards")))  # a row a ball
+
+    def build(group: pa.Table) -> pa.Table:
+        ids, dim = group["_id"].to_numpy(), group["dim"][0].as_py()
+        t = Tree.build(ids, group["_v"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim))
+        return pa.table({"shard": group["shard"][:1], "turn": pa.array([0], pa.int32()), "ids": [t.ids.tobytes()], "vectors": [np.ascontiguousarray(t.vectors).tobytes()], "nodes": [t.nodes.tobytes()], "bounds": [t.bounds.tobytes()], "limits": [b""], "dim": pa.array([dim], pa.int32())})
+
+    trees = written(dealt.select("shard", "_id", "_v", "dim").groupBy("shard").applyInArrow(build, _TREE), "trees")
+    asked = written(dealt.where(is_query(F.col("_id"))).select("shard", "_id", "_v", "dim"), "asked")
+    all_balls = spark.sparkContext.broadcast(balls)
+
+    def blocks(rows_of):
+        """Rows of _TREE from batches: `rows_of(batch)` gives (shard, dim, ids, vectors, limits) of queries."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, dim, ids, v, limits in rows_of(b):
+                    for s in range(0, len(ids), BLOCK):
+                        part = slice(s, s + BLOCK)
+                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([1], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (ids[part], v[part])), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([limits[part].tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["shard", "turn", "ids", "vectors", "nodes", "bounds", "limits", "dim"])
+
+        return run
+
+    def own(b: pa.RecordBatch):
+        ids, shards = b.column("_id").to_numpy(), b.column("shard").to_numpy()
+        for dim, at, v in _by_dim(b):
+            for shard in np.unique(shards[at]):
+                mine = shards[at] == shard
+                yield int(shard), dim, ids[at][mine], v[mine], np.full(int(mine.sum()), np.inf)
+
+    def others(b: pa.RecordBatch):
+        ids, shards, limits = b.column("_id").to_numpy(), b.column("shard").to_numpy(), b.column("limit").to_numpy()
+        for dim, at, v in _by_dim(b):
+            for shard, hit in all_balls.value.asked(v, limits[at], factor):
+                hit = hit[shards[at][hit] != shard]
+                if len(hit):
+                    yield shard, dim, ids[at][hit], v[hit], limits[at][hit]
+
+    near = written(_searched(trees, asked.mapInArrow(blocks(own), _TREE), k, factor), "near")
+    once = asked.groupBy("_id").agg(F.count(F.lit(1)).alias("asked"))
+    bound = near.groupBy(F.col("query_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most"))
+    limit = F.when((F.col("asked") == 1) & (F.col("n") >= k), F.col("most")).otherwise(F.lit(float("inf")))  # no limit for repeated queries
+    more = asked.join(once, "_id").join(bound, "_id", "left").select("shard", "_id", "_v", "dim", F.coalesce(limit, F.lit(float("inf"))).alias("limit"))
+    found = near.unionByName(_searched(trees, more.mapInArrow(blocks(others), _TREE), k, factor))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

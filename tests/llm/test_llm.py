@@ -391,6 +391,24 @@ def test_nearest(spark):
     assert len(loose) == 200 and hit / 200 >= 0.9  # recall of the relaxed search
 
 
+def test_nearest_over_many_balls(spark, monkeypatch):
+    """Clustered vectors, a third of them equal, in shards of 16: exact with factor one, good recall with more."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 16)
+    g = np.random.default_rng(6)
+    v = (g.normal(size=(12, 6))[g.integers(0, 12, 600)] * 5 + g.normal(size=(600, 6)) / 3).astype(np.float32)
+    v[::3] = v[1]
+    d = spark.createDataFrame([(i, [float(x) for x in y]) for i, y in enumerate(v)], "vec_id long, embedding array<float>")
+    want = brute.nearest(list(range(600)), v.astype(float), range(0, 600, 10))
+    for factor, least in ((1.0, 1.0), (1.4, 0.9)):
+        got = {}
+        for r in vptree.nearest(d, lambda i: i % 10 == 0, factor=factor).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        hit = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+        assert hit >= least * 600
+        if factor == 1:
+            assert all([i for _, i in got[q]] == [i for _, i in want[q]] for q in want)
+
+
 def test_tool_calls(spark):
     call = '{"tool_calls":[{"name":"w","id":"c1","arguments":{"b":1,"a":"x"}},{"id":"c2","name":"w","arguments":{"a":2},"depends_on":["c1"]}],"content":"hi \\"q\\""}'
     turns = [(1, 0, "tool", '{"content":{"z":1,"a":[1,2]},"tool_call_id":"c2"}'), (1, 1, "user", "é/\n"), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"c1","content":"ok"}'), (1, 4, "tool", '{"tool_call_id":"zz"}'), (2, 0, None, None), (None, None, "assistant", call), (3, 0, "assistant", "{broken tool_calls"), (3, 1, "assistant", '{"tool_calls":[{"id":"a","name":"u","depends_on":["b"]},{"id":"b","name":"u","depends_on":["a"]}]}')]
