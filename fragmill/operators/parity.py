@@ -25,6 +25,13 @@ def xor_words(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys, "w.word").agg(F.bit_xor("w.value").alias("parity"))
 
 
+def xor_row(content: bytes, size: int) -> list[int]:
+    """The sum over GF(2) of an object's pieces, as big-endian 4-byte words; no more words than the longest piece has."""
+    m = matrix(content, size)
+    words = -(-min(size, len(content)) // 4)
+    return np.bitwise_xor.reduce(m, axis=0)[: 4 * words].view(">u4").astype(np.int64).tolist() if len(m) else []
+
+
 def symbols_of(pieces: DataFrame, edges: DataFrame) -> DataFrame:
     """object_id, symbol_id, word, value: symbols as sums of the pieces that `edges` (blocks, symbol_id, member) names.
 

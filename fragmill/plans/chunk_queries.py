@@ -30,8 +30,8 @@ def objects(spark, sf_dir):
 )
 def block_dedup(spark, sf_dir):
     h = chunking.split(objects(spark, sf_dir), 256, ordinal="block_idx").select("object_id", "block_idx", B.digest(F.col("data")).alias("hash"))
-    own = h.groupBy("hash").agg(F.min("object_id").alias("owner"))
-    per = h.groupBy("object_id", "hash").agg(F.count(F.lit(1)).alias("n")).join(own, "hash")
+    counts = h.groupBy("object_id", "hash").agg(F.count(F.lit(1)).alias("n"))  # both sides below start from its one exchange
+    per = counts.join(counts.groupBy("hash").agg(F.min("object_id").alias("owner")), "hash")
     return per.groupBy("object_id").agg(F.sum("n").alias("total_blocks"), F.count(F.lit(1)).alias("distinct_blocks"), F.sum(F.when(F.col("owner") == F.col("object_id"), F.col("n")).otherwise(0)).alias("own_blocks"))
 
 

@@ -93,8 +93,9 @@ _WORDS = f"""{OBJECTS}, {blocks_sql(256)}, p AS (SELECT object_id, block_idx, rp
 
 @register("xor_parity", f"WITH {_WORDS} SELECT object_id, word::INTEGER AS word, bit_xor(value)::BIGINT AS parity FROM w GROUP BY object_id, word")
 def xor_parity(spark, sf_dir):
-    b = chunking.split(objects(spark, sf_dir), 256, ordinal="block_idx")
-    return parity.xor_words(b, ["object_id"])
+    """Sums of all blocks, in the object's own row: nothing but the sum leaves it."""
+    sums = parity.per_object(objects(spark, sf_dir), lambda content, _: (parity.xor_row(content, 256),), "words array<long>")
+    return sums.select("object_id", F.posexplode("words").alias("word", "parity"))
 
 
 @register(

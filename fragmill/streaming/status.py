@@ -53,7 +53,15 @@ def ring_pairs(fragments: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a table in memory."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there into Parquet files beside its checkpoint; nothing gathers in the driver.
+
+    A batch that is run again overwrites its own files; in complete mode the last batch is the whole result.
+    """
+    out = f"{checkpoint.rstrip('/')}-{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
