@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,21 +63,30 @@ def ini_entries(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return pairs.groupBy(*keys, "section", "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
-def json_entries(texts: DataFrame, keys: list[str], text: str = "text", depth: int = 8) -> DataFrame:
-    """keys, path, value: the leaves of JSON documents, as `$.a.b[0]`, down to `depth` levels; deeper parts stay JSON."""
+def json_entries(texts: DataFrame, keys: list[str], text: str = "text", depth: int | None = None) -> DataFrame:
+    """keys, path, value: the leaves of JSON documents, as `$.a.b[0]`, at any depth.
+
+    A level of the plan for each level of the deepest document, which costs a look for what is left; `depth` spares
+    these looks and leaves deeper parts as JSON.
+    """
     now = texts.select(*keys, F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("v")).where("v is not null")
     done = None
-    for _ in range(depth):
+    for level in count():
+        if level == depth:
+            break
         kind = F.schema_of_variant("v")
         leaf = now.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(*keys, "path", F.to_json("v").alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
         parents = now.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if depth is None and parents.isEmpty():
+            return done
         inner = F.try_variant_get("v", F.lit("$"), "map<string,variant>")
         items = F.try_variant_get("v", F.lit("$"), "array<variant>")
-        a = parents.select(*keys, "path", F.explode(inner).alias("k", "v")).select(*keys, F.concat("path", F.lit("."), "k").alias("path"), "v")
-        b = parents.select(*keys, "path", F.posexplode(items).alias("k", "v")).select(*keys, F.concat("path", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("path"), "v")
-        now = a.unionByName(b)
-    return done.unionByName(now.select(*keys, "path", F.to_json("v").alias("value")))
+        fields = F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("path", F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
+        places = F.transform(items, lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
+        now = parents.select(*keys, F.explode(F.when(kind.startswith("OBJECT"), fields).otherwise(places)).alias("x")).select(*keys, "x.path", "x.v")
+    rest = now.select(*keys, "path", F.to_json("v").alias("value"))
+    return rest if done is None else done.unionByName(rest)
 
 
 # Extensions and scores of the strategies, in order of preference at equal score.

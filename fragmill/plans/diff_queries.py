@@ -109,7 +109,7 @@ def json_diff(spark, sf_dir):
     old = e.select("event_id", F.concat(F.lit('{"x":{"y":[1,'), i.cast("string"), F.lit(']},"type":"'), "event_type", F.lit('"}')).alias("text"))
     new = e.select("event_id", F.concat(F.lit('{"x":{"y":[1,'), (i + i % 2).cast("string"), F.lit(',3]},"kind":"'), "event_type", F.lit('"}')).alias("text"))
     keys = ["event_id", "path"]
-    return diffs.key_changes(diffs.json_entries(old, ["event_id"], depth=4), diffs.json_entries(new, ["event_id"], depth=4), keys).select(*keys, "change", "old", "new")
+    return diffs.key_changes(diffs.json_entries(old, ["event_id"]), diffs.json_entries(new, ["event_id"]), keys).select(*keys, "change", "old", "new")
 
 
 @register("event_props", "SELECT event_id, k AS key, json_extract(props, '$.' || k)::VARCHAR AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -142,8 +142,8 @@ def diff_file_tree(spark, sf_dir):
     return s.groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("folder"), "depth").agg(F.count(F.lit(1)).alias("files"))
 
 
-@register("diff_sample", "SELECT doc_id AS object_id, sha256((encode(text))[1:CASE WHEN octet_length(encode(text)) <= 2048 THEN 2048 ELSE 512 END]) AS sample_hash FROM documents")
+@register("diff_sample", "SELECT doc_id AS object_id, sha256((encode(text))[1:CASE WHEN octet_length(encode(text)) <= 262144 THEN 262144 ELSE 65536 END]) AS sample_hash FROM documents")
 def diff_sample(spark, sf_dir):
-    """What a diff looks at, with the limits that its SQL states: 2 KiB and 512 bytes, not the operator's own."""
-    head = diffs.sample(B.octets(F.col("text")), whole=2048, head=512)
+    """What a diff looks at: objects of at most 256 KiB whole, the first 64 KiB of longer ones."""
+    head = diffs.sample(B.octets(F.col("text")))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("object_id"), B.digest(head).alias("sample_hash"))

@@ -181,3 +181,17 @@ def test_diff_sample_limits(spark):
     d = spark.createDataFrame([(134_000,), (256 * 1024,), (256 * 1024 + 1,)], "n int").select("n", F.expr("repeat('a', n)").cast("binary").alias("b"))
     got = {r["n"]: r["k"] for r in d.select("n", F.octet_length(diffs.sample(F.col("b"))).alias("k")).collect()}
     assert got == {134_000: 134_000, 256 * 1024: 256 * 1024, 256 * 1024 + 1: 64 * 1024}
+
+
+def test_json_of_any_depth(spark):
+    """Leaves twelve levels down, by their paths."""
+    from fragmill.operators import diffs
+
+    deep = "1"
+    for i in range(12):
+        deep = f'{{"k{i % 3}":{deep}}}' if i % 2 else f"[{deep},2]"
+    d = spark.createDataFrame([(1, deep), (2, "3"), (3, "no json"), (4, None), (5, "[]")], "id int, text string")
+    got = diffs.json_entries(d, ["id"]).collect()
+    assert len([r for r in got if r["id"] == 1]) == 7 and max(r["path"].count(".") + r["path"].count("[") for r in got) == 12
+    assert [(r["path"], r["value"]) for r in got if r["id"] == 2] == [("$", "3")] and {r["id"] for r in got} == {1, 2}
+    assert diffs.json_entries(d, ["id"], depth=2).where("id = 1").count() == 2
