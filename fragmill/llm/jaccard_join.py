@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_blocks, in_use, per_text, row_of, text_or_empty, written
+from .shared import dropped, in_blocks, in_use, per_text, row_of, text_or_empty, trimming, written
 
 WORDS, SHARE = 5, 75
 #: Least and most counters of the sketch and bits of a membership map (as powers of two), parts in which both travel,
@@ -43,7 +43,7 @@ COUNTERS, BITS, PARTS, CHUNK, DELEGATES, BLOCK = (18, 26), (16, 30), 256, 64, 8,
 HEAVY, LEAST = 1 << 24, 8
 #: Shingles that are packed at once, prefix shingles of a bucket, parts of a bucket that are compared one by one.
 PACKED, BUCKET, SLICES = 1_000_000, 1_000_000, 8
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Rows of numbers that are broadcast at most, some 20 MB; with more, both sides are shuffled.
 SENT = 200_000
 #: Bytes of a shingle in a prefix.
@@ -187,7 +187,7 @@ def _heavy(rows: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarr
                 counts[np.cumsum(unplaned(raw, n, np.uint32), dtype=np.int64)] += unplaned(raw[4 * n :], n, np.uint32)
         yield from done()
 
-    got = sorted(rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, at binary, level binary").collect())
+    got = sorted(rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(trimming(run), "part int, at binary, level binary").collect())
     join = lambda k, dtype: np.concatenate([np.frombuffer(r[k], dtype) for r in got] or [np.empty(0, dtype)])
     return join("at", np.uint32), join("level", np.uint8)
 
@@ -221,7 +221,7 @@ def _first_pass(docs: DataFrame, words: int, bits: int) -> DataFrame:
         if size:
             yield counted()
 
-    return written(rows.mapInArrow(run, "doc_id long, n long, s0 long, s1 long, k0 long, k1 long, part int, data binary"), "jaccard-pass")
+    return written(rows.mapInArrow(trimming(run), "doc_id long, n long, s0 long, s1 long, k0 long, k1 long, part int, data binary"), "jaccard-pass")
 
 
 def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "data"])
 
     bits = need.select(bit(F.col("id")).alias("bit")).distinct().select(F.floor(F.col("bit") / each).cast("int").alias("part"), "bit")
-    got = {r["part"]: r["data"] for r in bits.repartition("part").sortWithinPartitions("part").mapInArrow(fill, "part int, data binary").collect()}
+    got = {r["part"]: r["data"] for r in bits.repartition("part").sortWithinPartitions("part").mapInArrow(trimming(fill), "part int, data binary").collect()}
     sent = spark.sparkContext.broadcast(b"".join(got.get(p, bytes(each // 8)) for p in range(PARTS)))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), bit(F.col("doc_id").cast("long")).alias("bit"), text_or_empty(docs).alias("t"))
 
@@ -266,20 +266,22 @@ def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
                 digests = [pa.array(x, pa.int64()) for x in zip(*map(digest, sets))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *digests, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s0", "s1", "set"])
 
-    return rows.mapInArrow(run, "id long, s0 long, s1 long, set binary").join(F.broadcast(need) if needed <= SENT else need, ["id", "s0", "s1"])
+    return rows.mapInArrow(trimming(run), "id long, s0 long, s1 long, set binary").join(F.broadcast(need) if needed <= SENT else need, ["id", "s0", "s1"])
 
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
     """id, label: the least id reachable by edges (a, b), of the ids that have any."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{what}-edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), what)
+    labels = held = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), what)
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(seen, "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
         after = written(least.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), what)
-        labels = after.select("id", "label")
+        dropped(held)
+        labels, held = after.select("id", "label"), after
         if after.where("moved").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -307,6 +309,7 @@ def _chunk_links(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
         if not members.isEmpty():
             links = _linked_in_chunks(docs, members, keys, words, share)
             found = links if found is None else found.unionByName(links)
+        dropped(many, members)
     if found is None:
         return None
     # clusters of some size that share one hash meet by a few members each
@@ -319,6 +322,8 @@ def _chunk_links(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
         members = written(labels.join(sizes, [key, "label"]).join(written(many, "jaccard-keys"), key).where(sent).select("id", "s0", "s1", key, chunk.alias("chunk")), "jaccard-members")
         if not members.isEmpty():
             found = found.unionByName(_linked_in_chunks(docs, members, [key], words, share))
+        dropped(sizes, members)
+    dropped(labels)
     return found
 
 
@@ -369,7 +374,7 @@ def _packed(listed: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield done()
 
-    return listed.select("id", "cluster", "n", "rank", "light", "tokens").mapInArrow(run, "bucket long, data binary")
+    return listed.select("id", "cluster", "n", "rank", "light", "tokens").mapInArrow(trimming(run), "bucket long, data binary")
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -489,7 +494,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
                     held[k].append(x[:, part == k])
         yield from done()
 
-    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "query long, cluster long, n long, all long, least long, rest long, both long, early long")
+    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimming(run), "query long, cluster long, n long, all long, least long, rest long, both long, early long")
     pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
     return pairs.where("n >= least and all + rest >= both and early > 0").select("query", "cluster")
 
@@ -548,7 +553,9 @@ def _opened_links(docs: DataFrame, asked: DataFrame, clusters: DataFrame, words:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a long, b long"), "jaccard-opened")
+    links = written(dealt.mapInArrow(trimming(run), "a long, b long"), "jaccard-opened")
+    dropped(targets, rows)
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -584,6 +591,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
         named = classes.join(components(links, "components"), "id", "left").select("s0", "s1", F.coalesce("label", "id").alias("component_id"))
     named = written(named, "jaccard-named")
     of_ids = written(ids.select("doc_id", "s0", "s1").join(named, ["s0", "s1"]).select("doc_id", "component_id"), "jaccard-components")
+    dropped(ids, classes, clusters, asked, named)
     joined = rows.select("doc_id", "n").join(of_ids, "doc_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -30,13 +30,13 @@ from pyspark.sql.types import StructType
 
 from .bpe import BYTE_VOCABULARY
 from .pretoken import ByteCutter
-from .shared import in_blocks, in_use, text_or_empty, written
+from .shared import in_blocks, in_use, text_or_empty, trimming, written
 from .token_counts import encoder
 
 #: Ids of a sequence, groups of large lengths, share of a sequence up to which a length is small, columns generated at most.
 CAPACITY, GROUPS, SMALL, ROUNDS = 2048, 768, 1 / 3, 4000
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class PieceCoder(dict):
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 nth, piece, start, length, crc = cols
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64()), b.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(2).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], schema=arrow)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimming(work), schema)
 
 
 # ---- the plan, on counts of lengths

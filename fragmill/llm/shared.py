@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +69,21 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
+def trimming(run):
+    """`run`, a function from batches to batches, that gives free memory back to the system when it ends.
+
+    A worker lives on with the next tasks, beside a JVM that has its own share of the executor's memory.
+    """
+
+    def trimmed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
 _IN_USE: list = []
 
 
@@ -112,4 +129,4 @@ def per_text(docs: DataFrame, run: Callable[[list[str]], dict[str, list]], colum
                 made = [pa.array(out[f.name], type=f.type) for f in list(arrow)[len(keep) :]]
                 yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(kept, arrow)] + made, schema=arrow)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimming(work), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretoken import word_cut
-from .shared import in_blocks, in_use, per_text, text_or_empty
+from .shared import in_blocks, in_use, per_text, text_or_empty, trimming
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, their longest, those that a task names, and what a worker's cache may hold.
@@ -93,7 +93,7 @@ def frequent_lengths(docs: DataFrame, path: str, table: int = TABLE) -> dict[str
         if most:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text_or_empty(docs)).mapInArrow(named, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_or_empty(docs)).mapInArrow(trimming(named), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = sorted(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(table).collect())
     return dict(zip(words, map(len, encoder(path).encode_batch_fast(words, add_special_tokens=False))))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import trimming, written
 
 #: Vectors of a shard, least and most pivots, queries of a block, vectors of a leaf.
 SHARD_ROWS, PIVOTS, BLOCK, LEAF = 4096, (16, 256), 256, 48
@@ -179,7 +179,7 @@ def _searched(trees: DataFrame, asks: DataFrame, k: int, factor: float) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(found[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
 
     both = trees.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "turn")
-    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+    return both.mapInArrow(trimming(run), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, column: str = "embedding", id_column: str = "vec_id") -> DataFrame:
@@ -204,7 +204,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, colu
                 ball[at], far[at] = sent.value.placed(v)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ball, pa.int32()), pa.array(far)], names=[*b.schema.names, "ball", "far"])
 
-    placed = written(rows.mapInArrow(place, "_id long, _v array<double>, dim int, ball int, far double"), "placed")
+    placed = written(rows.mapInArrow(trimming(place), "_id long, _v array<double>, dim int, ball int, far double"), "placed")
     first = 0
     for r in sorted(placed.groupBy("ball", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()):  # balls
         balls.shards[r["ball"], r["dim"]] = (r["radius"], -(-r["n"] // SHARD_ROWS), first)
