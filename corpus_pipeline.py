@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fragmill.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from fragmill.llm.shared import table, written
+from fragmill.llm.shared import dropped, table, written
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
