@@ -72,3 +72,10 @@ def compute(primary: str, auxiliary: list[str] | None = None) -> Plan:
     restore = [_step("etn_strip", VALIDATION)] if validated and chosen != VALIDATION else []
     restore += [_step("strip", s["strategy"]) for s in reversed(steps) if s["step"] == "encode"]
     return Plan(chosen, active, steps, restore, overhead(active), families, not auxiliary)
+
+
+def windowed(plan: Plan, compression: str | None) -> bool:
+    """Whether an object can be encoded in one pass over a window of fragments: plain neighbour copies and nothing else."""
+    alone = [(s["step"], s["strategy"]) for s in plan.encode_steps] == [("encode", "FSS1")]
+    others = set(plan.active_strategies) & (set(FAMILY) - {"FSS1"})
+    return plan.effective_primary.upper() == "FSS1" and alone and not others and (compression or "").lower() != "ckc"

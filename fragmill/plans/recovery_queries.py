@@ -159,3 +159,33 @@ def rebuild_blocks(spark, sf_dir):
         return blocks, sum(map(len, bad.values())), bool(whole)
 
     return parity.per_object(objects(spark, sf_dir).where(F.octet_length("content") > 0), run, "blocks int, bad int, counted boolean")
+
+
+@register(
+    "node_repair",
+    f"""WITH {OBJECTS}, a AS (SELECT object_id, 'A' AS scope, 64 + octet_length(encode(object_id::VARCHAR)) AS size FROM objects UNION ALL SELECT object_id, 'B', 64 * ((n + 1023) // 1024) FROM objects UNION ALL SELECT object_id, 'C', n FROM objects),
+    k AS (SELECT object_id, scope, (size + 31) // 32 AS blocks FROM a WHERE size > 0)
+    SELECT object_id, scope, blocks::INTEGER AS blocks, greatest(1, floor(blocks * 0.7::DOUBLE))::INTEGER AS lt_symbols, greatest(1, floor(blocks * 0.6::DOUBLE))::INTEGER AS duip_symbols, true AS repaired FROM k""",
+)
+def node_repair(spark, sf_dir):
+    """Repair symbols of all three nodes: index, container, fragments.  A block of each is lost and comes back.
+
+    The second code's last symbol adds up all blocks, so one lost block always comes back.
+    """
+
+    def run(content, object_id):
+        digests = [hashlib.sha256(x).hexdigest().encode() for x in _cut(content, 1024)]
+        out = []
+        for scope, data in (("A", hashlib.sha256(content).hexdigest().encode() + str(object_id).encode()), ("B", b"".join(digests)), ("C", content)):
+            if not data:
+                continue
+            blocks = -(-len(data) // 32)
+            symbols = fountain.symbols(parity.matrix(data, 32), fountain.duip_equations(blocks))
+            lost = object_id % blocks
+            broken = data[: 32 * lost] + bytes(len(data[32 * lost : 32 * lost + 32])) + data[32 * lost + 32 :]
+            back = parity.rebuilt([broken], 32, "duip", {0: {lost}}, symbols, blocks)
+            out.append({"scope": scope, "blocks": blocks, "lt_symbols": len(fountain.lt_members(blocks)), "duip_symbols": len(symbols), "repaired": back == [data]})
+        return (out,)
+
+    nodes = parity.per_object(objects(spark, sf_dir), run, "nodes array<struct<scope:string,blocks:int,lt_symbols:int,duip_symbols:int,repaired:boolean>>")
+    return nodes.select("object_id", F.explode("nodes").alias("x")).select("object_id", "x.*")

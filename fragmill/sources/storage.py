@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -52,6 +53,33 @@ class Backend:
     def exists(self, name: str) -> bool:
         return self.fs.get_file_info(self._at(name)).type == fs.FileType.File
 
+    def received(self, name: str) -> int:
+        """Bytes of an upload in parts that have arrived, from which it goes on."""
+        info = self.fs.get_file_info(self._at(f"{name}.part"))
+        return info.size if info.type == fs.FileType.File else 0
+
+    def resume(self, name: str, offset: int, data: bytes, last: bool = False) -> int:
+        """Takes the bytes from `offset` on, which has to be where the upload stands; the last part makes it a file."""
+        if offset != self.received(name):
+            raise ValueError(f"{name} stands at {self.received(name)}, not {offset}")
+        part = self._at(f"{name}.part")
+        self.fs.create_dir(part.rsplit("/", 1)[0], recursive=True)
+        before = self.get(f"{name}.part") if offset else b""
+        with self.fs.open_output_stream(part) as f:
+            f.write(before + data)
+        if last:
+            self.fs.move(part, self._at(name))
+        return offset + len(data)
+
+    def cleaned(self, hours: float, now: datetime | None = None) -> list[str]:
+        """Deletes parts that nobody has added to for so long; their names."""
+        end = (now or datetime.now(timezone.utc)) - timedelta(hours=hours)
+        found = self.fs.get_file_info(fs.FileSelector(self.root, recursive=True, allow_not_found=True))
+        old = [i.path for i in found if i.type == fs.FileType.File and i.path.endswith(".part") and i.mtime < end]
+        for path in old:
+            self.fs.delete_file(path)
+        return sorted(path[len(self.root.rstrip("/")) + 1 :] for path in old)
+
     def names(self) -> list[str]:
         found = self.fs.get_file_info(fs.FileSelector(self.root, recursive=True, allow_not_found=True))
         return sorted(i.path[len(self.root.rstrip("/")) + 1 :] for i in found if i.type == fs.FileType.File and not i.path.endswith(".part"))

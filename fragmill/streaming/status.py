@@ -65,3 +65,15 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append")
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+
+
+def saved(stream: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds"):
+    """Starts to keep a stream's newest state of every key in files: changes within `every` are written at once.
+
+    Each batch replaces the files of the one before, so a reader finds the last state; the query is returned.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragmill.functions import aes, ctr, fountain
-from fragmill.operators import dedup, parity, recovery, unified, versions
+from fragmill.operators import dedup, parity, recovery, strategies, unified, versions
 from fragmill.plans import planner
 from fragmill.sources import cbor, container, readers, storage
 
@@ -194,3 +194,38 @@ def test_dictionary_falls_back(spark):
 def test_third_validation_is_a_step_of_its_own():
     p = planner.compute("FSS6.2", [])
     assert [s["step"] for s in p.restore_pipeline] == ["strip"] and p.active_strategies == ["FSS6.2"]
+
+
+def test_windowed_plans():
+    assert planner.windowed(planner.compute("FSS1"), "zstd") and planner.windowed(planner.compute("FSS1"), None)
+    assert not planner.windowed(planner.compute("FSS1"), "CKC") and not planner.windowed(planner.compute("FSS1", []), None)
+    assert not planner.windowed(planner.compute("FSS1", ["FSS2"]), None) and not planner.windowed(planner.compute("FSS3"), None)
+
+
+def test_resume_and_clean(tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    b = storage.Backend(str(tmp_path))
+    assert b.received("x") == 0 and b.resume("x", 0, b"abc") == 3 and b.received("x") == 3 and not b.exists("x") and b.names() == []
+    with pytest.raises(ValueError):
+        b.resume("x", 1, b"z")
+    assert b.resume("x", 3, b"de", last=True) == 5 and b.get("x") == b"abcde" and b.received("x") == 0
+    b.resume("y", 0, b"1")
+    assert b.cleaned(1) == [] and b.cleaned(1, datetime.now(timezone.utc) + timedelta(hours=2)) == ["y.part"] and b.received("y") == 0
+
+
+@pytest.mark.parametrize("level", ["FSS1", "fss2", "FSS5"])
+def test_strategies_recover(spark, level):
+    rows = [(o, i, 6, f"{o}-{i}".encode()) for o in range(3) for i in range(6)]
+    f = spark.createDataFrame(rows, "object_id int, frag_idx int, n int, data binary")
+    s = strategies.of(level)
+    stored = s.encode(f).where("frag_idx <> 2 and frag_idx <> 4")
+    got = s.recover(stored, f.select("object_id", "frag_idx", "n")).collect()
+    assert {(r["object_id"], r["frag_idx"]): bytes(r["data"]) for r in got} == {(o, i): d for o, i, _, d in rows}
+
+
+def test_own_strategies():
+    strategies.register("plain", strategies.Strategy(lambda f: f, lambda stored, expected: expected.join(stored, ["object_id", "frag_idx", "n"], "left")))
+    assert strategies.known() == ["FSS1", "FSS2", "FSS5", "PLAIN"]
+    with pytest.raises(ValueError):
+        strategies.of("FSS9")
