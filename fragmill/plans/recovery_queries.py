@@ -189,3 +189,72 @@ def node_repair(spark, sf_dir):
 
     nodes = parity.per_object(objects(spark, sf_dir), run, "nodes array<struct<scope:string,blocks:int,lt_symbols:int,duip_symbols:int,repaired:boolean>>")
     return nodes.select("object_id", F.explode("nodes").alias("x")).select("object_id", "x.*")
+
+
+@register("face_entropy")
+def face_entropy(spark, sf_dir):
+    """The entropy byte of every face of 32 blocks."""
+
+    def run(content, _):
+        return ([{"face": i, "entropy": x} for i, x in enumerate(fountain.face_entropy(parity.matrix(content, 64)))],)
+
+    f = parity.per_object(objects(spark, sf_dir).where(F.octet_length("content") > 0), run, "faces array<struct<face:int,entropy:int>>")
+    return f.select("object_id", F.explode("faces").alias("x")).select("object_id", "x.*")
+
+
+@register(
+    "symbol_coverage",
+    f"""WITH {OBJECTS}, k AS (SELECT DISTINCT (n + 255) // 256 AS blocks FROM objects WHERE n > 0), e AS (SELECT blocks, greatest(1, floor(blocks * 0.6::DOUBLE))::BIGINT AS symbols FROM k)
+    SELECT blocks::INTEGER AS blocks, symbols::INTEGER AS symbols, ((blocks + 31) // 32)::INTEGER AS faces, true AS covered FROM e""",
+)
+def symbol_coverage(spark, sf_dir):
+    """For every number of blocks that occurs: symbols, faces, and whether the symbols cover all blocks and add up."""
+    kinds = objects(spark, sf_dir).select(F.ceil(F.octet_length("content") / 256).cast("int").alias("blocks")).where("blocks > 0").distinct()
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k in map(int, b["blocks"]):
+                members = fountain.duip_members(k)
+                columns, faces = fountain.coverage(members, k)
+                rows.append((k, len(members), len(faces), bool((columns > 0).all() and faces.sum() == len(members) and columns.sum() == sum(map(len, members)))))
+            yield pd.DataFrame(rows, columns=["blocks", "symbols", "faces", "covered"]).astype({"blocks": "int32", "symbols": "int32", "faces": "int32"})
+
+    return kinds.mapInPandas(run, "blocks int, symbols int, faces int, covered boolean")
+
+
+@register(
+    "padded_blocks",
+    f"""WITH {OBJECTS}, {blocks_sql(256)} SELECT object_id, block_idx::INTEGER AS block_idx, 256 AS size, sha256(unhex(rpad(hex(data), 512, '0'))) AS hash FROM blocks""",
+)
+def padded_blocks(spark, sf_dir):
+    """Blocks filled up with zeros, as symbols are made of them."""
+    b = chunking.split(objects(spark, sf_dir), 256, ordinal="block_idx").select("object_id", "block_idx", chunking.padded(F.col("data"), 256).alias("data"))
+    return b.select("object_id", "block_idx", F.octet_length("data").alias("size"), B.digest(F.col("data")).alias("hash"))
+
+
+@register(
+    "trimmed_merge",
+    f"WITH {OBJECTS} SELECT object_id, n::INTEGER AS size, sha256(content) AS hash FROM objects WHERE n > 0",
+)
+def trimmed_merge(spark, sf_dir):
+    """Padded blocks put together again and cut to the object's length."""
+    o = objects(spark, sf_dir).withColumn("length", F.octet_length("content"))
+    b = chunking.split(o, 256, ordinal="block_idx", keep=("object_id", "length")).withColumn("data", chunking.padded(F.col("data"), 256))
+    m = chunking.merged(b, ["object_id"], ordinal="block_idx", trim="length")
+    return m.select("object_id", F.octet_length("content").alias("size"), B.digest(F.col("content")).alias("hash"))
+
+
+@register(
+    "first_shards",
+    f"""WITH {_N}, a AS (SELECT object_id, frag_idx, n, row_number() OVER (PARTITION BY object_id ORDER BY frag_idx) AS k FROM f WHERE {_THERE}) SELECT object_id, frag_idx::INTEGER AS frag_idx, k::INTEGER AS place FROM a WHERE k <= (n + 1) // 2""",
+)
+def first_shards(spark, sf_dir):
+    """Of the fragments that are there the first ones that decoding takes: half of all, rounded up."""
+    from pyspark.sql import Window
+
+    f = fragments(spark, sf_dir).where(_THERE).select("object_id", "frag_idx", "n")
+    f = f.withColumn("place", F.row_number().over(Window.partitionBy("object_id").orderBy("frag_idx")))
+    return f.where(F.col("place") <= F.floor((F.col("n") + 1) / 2)).select("object_id", "frag_idx", "place")

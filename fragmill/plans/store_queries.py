@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import aes, ctr
 from ..functions import bytes as B
 from ..operators import dedup, placement, unified
-from ..sources import storage
+from ..sources import cbor, container, readers, storage
 from .catalog import register
 from .diff_queries import pairs
 from .placement_queries import _B, _STATUS, backends, fragment_states
@@ -185,3 +187,69 @@ def store_and_fetch(spark, sf_dir):
         raise OSError(f"{failed} pieces were not written")
     got = storage.objects_read(s.select("object_id", "frag_idx", "name", "backend"), stores)
     return got.select("object_id", "fragments", "failed", B.digest(F.col("content")).alias("hash"))
+
+
+def _stored(spark, files, suffix: str) -> str:
+    """Writes files (i, data) as <i><suffix> into a new folder, which is returned."""
+    root = f"{_folder(spark)}/files"
+    rows = files.select(F.lit("path").alias("kind"), F.lit(root).alias("uri"), F.concat(F.col("i").cast("string"), F.lit(suffix)).alias("name"), "data")
+    if failed := storage.stored(rows).where("error is not null").count():
+        raise OSError(f"{failed} files were not written")
+    return root
+
+
+_ROUNDS = 10
+
+
+@register(
+    "index_files",
+    "SELECT r_regionkey || '.idx' AS name, r_name AS original_name, (r_regionkey * 100)::BIGINT AS file_size, r_regionkey::INTEGER AS fragment_count FROM region",
+)
+def index_files(spark, sf_dir):
+    """Sealed index files of a folder, found, opened with a password and decoded; every other one has the older key."""
+
+    @F.pandas_udf("binary")
+    def made(i: pd.Series, name: pd.Series) -> pd.Series:
+        out = []
+        for k, n in zip(map(int, i), name):
+            d = cbor.index_document({"version": 1, "original_name": n, "file_size": k * 100, "fragments": [{"size": 1}] * k})
+            out.append(readers.sealed_index(d, "pw", bytes([k]) * 32, bytes(12), _ROUNDS) if k % 2 else bytes(12) + ctr.crypt(d, bytes(12), aes.legacy_key("pw")))
+        return pd.Series(out)
+
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("i"), "r_name")
+    root = _stored(spark, r.select("i", made("i", "r_name").alias("data")), ".idx")
+    return readers.indexes(readers.files(spark, root, "*.idx"), "pw", _ROUNDS).select("name", "original_name", "file_size", "fragment_count")
+
+
+@register(
+    "container_files",
+    "SELECT n_nationkey || '.rc' AS name, n_name AS file_fingerprint, (n_regionkey + 1)::INTEGER AS index_blocks, (n_nationkey % 3)::INTEGER AS fragments, (2 * (n_nationkey % 3))::INTEGER AS fragment_blocks, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END::INTEGER AS repair_a_blocks FROM nation",
+)
+def container_files(spark, sf_dir):
+    """Recovery containers of a folder, decoded; half of them hold repair data."""
+
+    @F.pandas_udf("binary")
+    def made(i: pd.Series, name: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([readers.container_document({"version": 1, "file_fingerprint": n, "index_block_map": ["x"] * (int(r) + 1), "fragment_block_maps": [["a", "b"]] * (int(k) % 3), "created_at": int(k), "repair_a": None if k % 2 else {"seed": 1, "block_count": int(k), "block_size": 4, "data": b"d"}}) for k, n, r in zip(i, name, region)])
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("i"), made("n_nationkey", "n_name", "n_regionkey").alias("data"))
+    found = readers.files(spark, _stored(spark, n, ".rc"), "*.rc")
+    return readers.containers(found).select("name", "file_fingerprint", "index_blocks", "fragments", "fragment_blocks", "repair_a_blocks")
+
+
+@register(
+    "rescue_indexes",
+    "SELECT n_name AS prefix, 3::BIGINT AS fragments, (n_nationkey % 2)::INTEGER AS probe, n_name || '.txt' AS original_name FROM nation",
+)
+def rescue_indexes(spark, sf_dir):
+    """Indexes found without index files: the first fragment of each object whose header is whole carries one."""
+
+    @F.pandas_udf("binary")
+    def made(k: pd.Series, i: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([b"junk" if i_ == 0 and k_ % 2 else container.fragment_file({"original_name": f"{n}.txt"}, b"data", bytes(12)) for k_, i_, n in zip(k, i, name)])
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, range(3)))).alias("p"))
+    files = n.select(F.concat_ws("_", "n_name", F.col("p").cast("string")).alias("i"), made("n_nationkey", "p", "n_name").alias("data"))
+    found = readers.rescued(container.scanned(spark, _stored(spark, files, ".frag")))
+    opened = container.index_and_payload(container.parsed(found.drop("name")), "body")
+    return container.decoded_indexes(opened).select("prefix", "fragments", "probe", "original_name")
