@@ -193,20 +193,28 @@ def duip_decode(spark, sf_dir):
     return _recovery(spark, sf_dir, "duip", 0.05)
 
 
+#: Of the sweep: losses in percent, trials of each, repair symbols by blocks.
+LOSSES, TRIALS, RATIOS = (5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 60, 70), 3, (0.5, 1.0, 2.0)
+
+
 @register("loss_sweep")
 def loss_sweep(spark, sf_dir):
-    """Of the blocks lost at each share, how many both codes bring back."""
+    """Of the blocks lost at each share, trial and ratio of repair symbols, how many both codes leave lost."""
 
     def run(content, object_id):
-        blocks, out = -(-len(content) // 256), []
-        for share in (0.1, 0.3, 0.5):
-            lost = _loss(blocks, object_id, share)
-            out += [int(lost.sum()), *(parity.fountain_recovery(content, 256, c, lost)[1] for c in ("lt", "duip"))]
-        return tuple(out)
-
-    cols = [f"{n}_{s}" for s in (10, 30, 50) for n in ("lost", "lt_left", "duip_left")]
-    per = parity.per_object(objects(spark, sf_dir), run, ", ".join(f"{c} int" for c in cols))
-    return per.agg(*(F.sum(c).alias(c) for c in cols))
+        m, out = parity.matrix(content, 256), []
+        for ratio in RATIOS:
+            codes = [(e, fountain.symbols(m, e)) for e in (fountain.lt_equations(len(m), ratio), fountain.duip_equations(len(m), ratio))]
+            for share in LOSSES:
+                for trial in range(TRIALS):
+                    lost = _loss(len(m), object_id + 7 * trial, share / 100)
+                    left = [int(fountain.decoded(m, lost, e, values)[1].sum()) for e, values in codes]
+                    out.append({"ratio": ratio, "loss": share, "trial": trial, "lost": int(lost.sum()), "lt_left": left[0], "duip_left": left[1]})
+        return (out,)
+
+    per = parity.per_object(objects(spark, sf_dir), run, "xs array<struct<ratio:double,loss:int,trial:int,lost:long,lt_left:long,duip_left:long>>")
+    rows = per.select(F.explode("xs").alias("x")).select("x.*")
+    return rows.groupBy("ratio", "loss", "trial").agg(*(F.sum(c).alias(c) for c in ("lost", "lt_left", "duip_left")))
 
 
 def edges(spark, sf_dir, code: str):
