@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 TOOLS = "tool string, argument string, type string, required boolean"
 
@@ -86,23 +86,26 @@ def _ordered(calls: DataFrame) -> DataFrame:
     needs = written(needs.select("conv_id", "turn", "needed").distinct(), "needs")
     if needs.where("needed > turn").isEmpty():
         return calls.select("conv_id", "call_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"))
-    now = written(calls.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step")).distinct(), "places")
+    now = written(calls.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"), F.lit(True).alias("moved")).distinct(), "places")
     own = F.struct("at", "step")
     while True:
-        known = now.select("conv_id", F.col("turn").alias("needed"), F.struct("at", (F.col("step") + 2).alias("step")).alias("after"))
+        # only what moved in the last round can move others
+        known = now.where("moved").select("conv_id", F.col("turn").alias("needed"), F.struct("at", (F.col("step") + 2).alias("step")).alias("after"))
         latest = needs.join(known, ["conv_id", "needed"]).groupBy("conv_id", "turn").agg(F.max("after").alias("after"))
-        moved = now.join(latest, ["conv_id", "turn"], "left").withColumn("next", F.greatest(own, F.coalesce("after", own)))
+        held = now
+        moved = now.drop("moved").join(latest, ["conv_id", "turn"], "left").withColumn("next", F.greatest(own, F.coalesce("after", own)))
         moved = written(moved.select("conv_id", "turn", "next.at", "next.step", (F.col("next") != own).alias("moved")), "places")
         # A path without a cycle has no more links than its conversation has moved turns.
         state = moved.groupBy("conv_id").agg(F.bool_or("moved").alias("moved"), (F.max("step") > 2 * F.count_if(F.col("step") > 0)).alias("cycle"))
         any_moved, any_cycle = state.agg(F.bool_or("moved"), F.bool_or("cycle")).first()
-        now = moved.drop("moved")
+        now = moved
+        dropped(held)
         if any_cycle:
             turns = moved.where("step > 0").join(state.where("cycle").select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn")
             inner = needs.join(turns, ["conv_id", "turn"], "left_semi").join(turns.withColumnRenamed("turn", "needed"), ["conv_id", "needed"], "left_semi")
             needs = written(needs.join(_in_cycles(written(inner.select("conv_id", "turn", "needed"), "reach")), ["conv_id", "turn", "needed"], "left_anti"), "needs")
             again = now.join(state.where("cycle").select("conv_id", "cycle"), "conv_id", "left")
-            now = written(again.select("conv_id", "turn", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("cycle"), F.lit(0)).otherwise(F.col("step")).alias("step")), "places")
+            now = written(again.select("conv_id", "turn", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("cycle"), F.lit(0)).otherwise(F.col("step")).alias("step"), (F.col("moved") | F.coalesce("cycle", F.lit(False))).alias("moved")), "places")
         elif not any_moved:
             return calls.join(now, ["conv_id", "turn"], "left").select("conv_id", "call_id", "turn", F.coalesce("at", "turn").alias("at"), F.coalesce("step", F.lit(0)).alias("step"))
 
