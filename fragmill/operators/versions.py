@@ -43,14 +43,17 @@ def chained_whole(fragments: DataFrame) -> DataFrame:
     return rows.select(*fragments.columns, (~reused).alias("stored"), F.when(reused, F.col("_owner.number")).alias("source_number"), F.when(reused, F.col("_owner.frag_idx")).alias("source_index"))
 
 
-def upserted(existing: DataFrame, records: DataFrame, keys: list[str], order: str) -> DataFrame:
+def upserted(existing: DataFrame, records: DataFrame, keys: list[str], order: str, place: str | None = None) -> DataFrame:
     """A catalogue after `records`: one row for each key, the one with the greatest `order`, new ones before old ones.
 
+    Of rows equal in both the one with the smallest `place` (a number, not in the result) stays; without it they must
+    not differ.  A null field leaves what the next row has there; a null `order` comes last and thus replaces others.
     Rows that repeat a key meet in partial aggregation, so a key that a third of all records name costs a row a task.
     """
     both = existing.withColumn("_new", F.lit(0)).unionByName(records.withColumn("_new", F.lit(1)))
-    rest = [c for c in existing.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_new")).alias("_x")).select(*keys, "_x.*")
+    rest = [c for c in existing.columns if c not in keys and c != place]
+    rank = F.struct(F.col(order).isNull().alias("_open"), order, "_new", *([(-F.col(place)).alias("_place")] if place else []))
+    return both.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in rest))
 
 
 def ensured(existing: DataFrame, records: DataFrame, keys: list[str], order: str) -> DataFrame:

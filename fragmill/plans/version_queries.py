@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..operators import chunking, versions
+from ..sources import readers
 from .catalog import register
 from .dedup_queries import version_fragments
 from .dedup_queries import versions as all_versions
@@ -76,8 +77,8 @@ _LOC = "SELECT l_orderkey AS object_id, l_linenumber AS frag_idx, l_suppkey AS b
 
 
 def _locations(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(F.col("l_orderkey").alias("object_id"), F.col("l_linenumber").alias("frag_idx"), F.col("l_suppkey").alias("backend"), F.round(F.col("l_quantity") * 1024).cast("long").alias("file_size"), F.col("l_shipdate").alias("uploaded_at"), F.col("l_linestatus").alias("state"))
+    li = readers.placed(spark, f"{sf_dir}/lineitem.parquet")
+    return li.select("place", F.col("l_orderkey").alias("object_id"), F.col("l_linenumber").alias("frag_idx"), F.col("l_suppkey").alias("backend"), F.round(F.col("l_quantity") * 1024).cast("long").alias("file_size"), F.col("l_shipdate").alias("uploaded_at"), F.col("l_linestatus").alias("state"))
 
 
 @register(
@@ -86,10 +87,13 @@ def _locations(spark, sf_dir):
     SELECT object_id, frag_idx, arg_max(backend, (uploaded_at, new)) AS backend, arg_max(file_size, (uploaded_at, new)) AS file_size, max(uploaded_at) AS uploaded_at FROM u GROUP BY ALL""",
 )
 def catalog_upserts(spark, sf_dir):
-    """Fragment locations: half of all line items arrive anew and replace what the catalogue has under their key."""
+    """Fragment locations: half of all line items arrive anew and replace what the catalogue has under their key.
+
+    Some keys have two line items of one date; the SQL takes the first in the table.
+    """
     l = _locations(spark, sf_dir)  # noqa: E741
     new = l.where("frag_idx % 2 = 0").withColumn("file_size", F.col("file_size") + 1)
-    return versions.upserted(l.where("state = 'F'").drop("state"), new.drop("state"), ["object_id", "frag_idx"], "uploaded_at")
+    return versions.upserted(l.where("state = 'F'").drop("state"), new.drop("state"), ["object_id", "frag_idx"], "uploaded_at", "place")
 
 
 @register(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aes
@@ -26,6 +26,15 @@ def files(spark: SparkSession, folder: str, glob: str, recursive: bool = True) -
     return f.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content").orderBy(F.desc("modified"), "name")
 
 
+def placed(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """A Parquet table with `place`, which rises from row to row of a file and from file to file by their paths."""
+    t = spark.read.parquet(path)
+    nth = F.row_number().over(Window.orderBy("_file")).cast("long")  # one row for each file
+    files = t.select(F.col("_metadata.file_path").alias("_file")).distinct().withColumn("_nth", nth)
+    rows = t.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(F.broadcast(files), "_file").select(*t.columns, (F.col("_nth") * (1 << 40) + F.col("_row")).alias(place))
+
+
 @lru_cache(maxsize=256)
 def _key(password: str, salt: bytes, rounds: int) -> bytes:
     return aes.derived_key(password, salt, rounds)

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,28 @@ def test_catalogue(spark):
     assert sorted(tuple(r) for r in versions.ensured(old, new, ["k"], "at").collect()) == [(1, "a", 1), (2, "b", 1), (3, "d", 2)]
 
 
+def test_catalogue_of_ties_and_nulls(spark, tmp_path):
+    from fragmill.plans import catalog
+
+    # l_orderkey, l_linenumber, l_suppkey, l_quantity, l_linestatus, l_shipdate; the second half is a file of its own
+    rows = [(1, n, 10 * n + i, float(i + 1), "F", "2000-01-01") for i in range(6) for n in (1, 2)]
+    rows += [(2, 1, 7, 1.0, "F", "2000-01-01"), (2, 1, None, None, "F", "2001-01-01"), (3, 1, 5, 2.0, "F", None), (3, 1, 6, 3.0, "F", "2000-01-01"), (4, 2, None, 1.0, "O", None), (None, 2, 1, 1.0, "F", "2000-01-01")]
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (l_orderkey BIGINT, l_linenumber INTEGER, l_suppkey BIGINT, l_quantity DOUBLE, l_linestatus VARCHAR, l_shipdate TIMESTAMP)")
+    for name, part in (("b", rows[6:]), ("a", rows[:6])):
+        con.execute("DELETE FROM t")
+        con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?)", part)
+        con.execute(f"COPY t TO '{folder}/{name}.parquet'")
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    columns = "object_id, frag_idx, backend, file_size, uploaded_at"
+    want = con.execute(f"SELECT {columns} FROM ({catalog.oracle_sql()['catalog_upserts']})").fetchall()
+    got = catalog.queries()["catalog_upserts"](spark, str(tmp_path)).select(*columns.split(", ")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert (1, 1, 10, 1024) in {r[:4] for r in want} and (2, 1, 7, 1024) in {r[:4] for r in want}
+
+
 def test_dictionary_falls_back(spark):
     d = spark.createDataFrame([(b"abcdXX",), (b"abcdYY",), (b"ZZabcd",)], "content binary")
     assert [tuple(r) for r in dedup.dictionary(d).collect()] == [(b"abcd".hex().upper(), 3, 12)]
