@@ -1,10 +1,13 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
 Vectors go to the ball of their nearest pivot, of a bounded number of pivots; a ball of many rows is dealt into shards by
-a hash of the id, so that even one vector that a third of all rows hold spreads evenly.  Each shard becomes one tree,
-stored as arrays in a row.  A query first searches the shard it lies in.  Its k-th distance there tells which balls the
-triangle inequality cannot exclude, and only their shards are asked as well, in blocks of queries; a task sees a shard's
-tree and then its blocks one by one, holding one tree and one block.  Within a tree a subtree is skipped likewise.  Every
+a hash of the id, so that even one vector that a third of all rows hold spreads evenly.  Each shard becomes one tree; a
+task makes and holds the trees of one part, a few shards, and then sees the part's queries in batches.  A query first
+searches the shard it lies in.  Its k-th distance there tells which balls the triangle inequality cannot exclude, and only
+parts with their shards are asked as well, each once for all its shards.  Within a tree a subtree is skipped likewise, for
+all queries of a block that allow it, and a leaf's vectors by lower bounds of their distances from one product of matrices
+with room for rounding; the rest are measured from differences.  Vectors without any structure are near the quadratic
+case still: the bounds exclude few subtrees there, and what is saved is most of the cost of a pair, not the pair.  Every
 bound is multiplied by `factor`: one is exact, more skips more.  Splits go by rank, not by value, so any number of equal
 vectors still halves.
 """
@@ -12,16 +15,24 @@ vectors still halves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import trimming, written
+from .shared import dropped, trimming, written
 
 #: Vectors of a shard, least and most pivots, queries of a block, vectors of a leaf.
-SHARD_ROWS, PIVOTS, BLOCK, LEAF = 4096, (16, 256), 256, 48
+SHARD_ROWS, PIVOTS, BLOCK, LEAF = 4096, (16, 256), 1024, 256
+
+#: Shards are dealt into about so many parts, of at most so many shards; a task holds the trees of a part.
+PARTS, HELD = 64, 16
+
+#: What a product of matrices may be wrong by, of both squares and for each dimension (and some more): several times the
+#: bound of rounding errors, whatever the order of the sums.
+ROUNDING = 8 * np.finfo(np.float64).eps
 
 
 class Tree:
@@ -29,6 +40,9 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, bounds: np.ndarray):
         self.ids, self.vectors, self.nodes, self.bounds = ids, vectors, nodes, bounds
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
+        self.room = ROUNDING * (vectors.shape[1] + 8)
+        self.wide = np.column_stack([vectors, np.where(np.isfinite(self.squares), self.squares * (1 - self.room), -np.inf)])
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> Tree:
@@ -58,39 +72,90 @@ class Tree:
         return cls(ids[order], vectors[order], np.array(nodes, np.int64).reshape(-1, 5), np.array(bounds, np.float64).reshape(-1, 4))
 
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int, factor: float, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of each query's k nearest, as far as within `limits`; inf where there are fewer."""
+        """Distances and ids of each query's k nearest, as far as within `limits`; inf where there are fewer.
+
+        Queries without a limit first go down to one leaf each.  Then a node is seen once, with all queries that its
+        bounds cannot exclude.  A leaf is screened by lower bounds of the distances, from one product of matrices; what
+        they leave is measured from differences.
+        """
         limits = np.full(len(qids), np.inf) if limits is None else limits
         best = np.full((len(qids), k), np.inf)
         found = np.full((len(qids), k), np.iinfo(np.int64).max)
+        home = np.full(len(qids), -1)
+        squares, room = (queries * queries).sum(1), self.room
+        wide = np.column_stack([-2 * queries, np.ones(len(queries))])
+        known = np.isin(qids, self.ids)  # which are, by their id, not to find all
+
+        def within_reach(q: np.ndarray) -> np.ndarray:
+            return np.minimum(best[q, -1], limits[q])
+
+        def offer(q: np.ndarray, i: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+            """Takes the distances `d` of q[i], `i` ascending, to the vectors of `ids`."""
+            start = np.flatnonzero(np.diff(i, prepend=-1))
+            count = np.diff(start, append=len(i))
+            row, place = np.repeat(np.arange(len(start)), count), np.arange(len(i)) - np.repeat(start, count)
+            q = q[i[start]]
+            more, named = np.full((len(q), count.max()), np.inf), np.full((len(q), count.max()), np.iinfo(np.int64).max)
+            more[row, place], named[row, place] = d, ids
+            more, named = np.concatenate([best[q], more], 1), np.concatenate([found[q], named], 1)
+            o = np.lexsort((named, more), axis=1)[:, :k]
+            best[q], found[q] = np.take_along_axis(more, o, 1), np.take_along_axis(named, o, 1)
+
+        def leaf(q: np.ndarray, start: int, end: int) -> None:
+            least = wide[q] @ self.wide[start:end].T  # with a query's own square, lower bounds of the squares of distances
+            if known[q].any():
+                least[qids[q][:, None] == self.ids[start:end]] = np.inf
+            top = (within_reach(q) * (1 + 1e-12) + 1e-12) ** 2 - squares[q] * (1 - room)
+            top[~np.isfinite(squares[q])] = np.nan  # squares beyond all numbers exclude nothing
+            some = np.flatnonzero(~(least.min(1) > top))
+            if not len(some):
+                return
+            q, least, top = q[some], least[some], top[some]
+            hit = ~(least > top[:, None])
+            many = np.flatnonzero(hit.sum(1) > 4 * k)
+            if len(many):  # as many are nearer than the k-th of their upper bounds
+                most = np.partition(least[many], k - 1, axis=1)[:, k - 1] + 2 * room * (squares[q[many]] + self.squares[start:end].max()) + 1e-24
+                hit[many] &= ~(least[many] > most[:, None])
+            i, j = np.nonzero(hit)
+            j += start
+            other = qids[q[i]] != self.ids[j]
+            i, j = i[other], j[other]
+            if len(i):
+                offer(q, i, paired(queries, q[i], self.vectors, j), self.ids[j])
+
+        def sides(node: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = distances(queries[q], self.vectors[self.nodes[node, 1] : self.nodes[node, 1] + 1])[:, 0]
+            in_least, in_most, out_least, out_most = self.bounds[node]
+            return d, np.maximum(np.maximum(d - in_most, in_least - d), 0), np.maximum(np.maximum(d - out_most, out_least - d), 0)
 
-        def offer(q: np.ndarray, start: int, end: int, d: np.ndarray) -> None:
-            ids = np.broadcast_to(self.ids[start:end], d.shape)
-            d = np.where(ids == qids[q][:, None], np.inf, d)
-            hit = (d <= best[q, -1:]).any(1)
-            if hit.any():
-                q, d, ids = q[hit], d[hit], ids[hit]
-                d, ids = np.concatenate([best[q], d], 1), np.concatenate([found[q], ids], 1)
-                o = np.lexsort((ids, d), axis=1)[:, :k]
-                best[q], found[q] = np.take_along_axis(d, o, 1), np.take_along_axis(ids, o, 1)
+        def descend(node: int, q: np.ndarray) -> None:
+            vantage, start, end, near, far = self.nodes[node]
+            if vantage < 0:
+                home[q] = node
+                return leaf(q, start, end)
+            _, inner, outer = sides(node, q)
+            for child, mine in ((near, q[inner <= outer]), (far, q[inner > outer])):
+                if len(mine):
+                    descend(child, mine)
 
         def visit(node: int, q: np.ndarray) -> None:
             vantage, start, end, near, far = self.nodes[node]
             if vantage < 0:
-                return offer(q, start, end, distances(queries[q], self.vectors[start:end]))
-            d = distances(queries[q], self.vectors[start : start + 1])
-            offer(q, start, start + 1, d)
-            d = d[:, 0]
-            in_least, in_most, out_least, out_most = self.bounds[node]
-            inner = np.maximum(np.maximum(d - in_most, in_least - d), 0)
-            outer = np.maximum(np.maximum(d - out_most, out_least - d), 0)
-            closer = inner <= outer
-            for mine, turns in ((closer, ((near, inner), (far, outer))), (~closer, ((far, outer), (near, inner)))):
-                for child, bound in turns:
-                    go = mine & within(bound * factor, np.minimum(best[q, -1], limits[q]))
-                    if go.any():
-                        visit(child, q[go])
+                q = q[home[q] != node]
+                return leaf(q, start, end) if len(q) else None
+            d, inner, outer = sides(node, q)
+            i = np.flatnonzero((d <= within_reach(q) * (1 + 1e-12) + 1e-12) & (qids[q] != self.ids[start]))
+            if len(i):
+                offer(q, i, d[i], np.full(len(i), self.ids[start]))
+            both = (near, inner), (far, outer)
+            for child, bound in both if 2 * (inner <= outer).sum() >= len(q) else both[::-1]:
+                go = within(bound * factor, within_reach(q))
+                if go.any():
+                    visit(child, q[go])
 
         if len(self.ids) and len(qids):
+            if len(free := np.flatnonzero(np.isinf(limits))):
+                descend(0, free)
             visit(0, np.arange(len(qids)))
         best[~within(best, limits[:, None])] = np.inf
         return best, found
@@ -111,6 +176,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def paired(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of a[i] and b[j], as `distances` has them."""
+    out = np.empty(len(i))
+    step = max(1, 1_000_000 // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        x = a[i[s : s + step]] - b[j[s : s + step]]
+        out[s : s + step] = np.sqrt((x * x).sum(-1))
+    return out
+
+
 def usable(vectors: DataFrame, column: str, id_column: str) -> DataFrame:
     """_id, _v (array of double): rows with an id and a vector that is neither zero nor holds null or non-finite components."""
     v = F.col(column).cast("array<double>")
@@ -118,7 +193,7 @@ def usable(vectors: DataFrame, column: str, id_column: str) -> DataFrame:
     return vectors.where(F.col(id_column).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_column).cast("long").alias("_id"), v.alias("_v"))
 
 
-_TREE = "shard long, turn int, ids binary, vectors binary, nodes binary, bounds binary, limits binary, dim int"
+_ASK = "part long, turn int, shard long, _id long, _v array<double>, dim int, limit double"
 
 
 class Balls:
@@ -140,19 +215,36 @@ class Balls:
         near = d.argmin(1)
         return at[near], d[np.arange(len(d)), near]
 
-    def asked(self, vectors: np.ndarray, limits: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Shards, and which of the vectors may find something within their limits there."""
-        dim = vectors.shape[1]
-        at, pivots = self.of.get(dim, (np.empty(0, np.int64), np.empty((0, dim))))
-        d = distances(vectors, pivots)
-        for (ball, of), (radius, shards, first) in self.shards.items():
-            if of != dim:
-                continue
-            bound = np.maximum(d[:, int(np.flatnonzero(at == ball)[0])] - radius, 0) if ball >= 0 else np.zeros(len(vectors))
-            hit = np.flatnonzero(within(bound * factor, limits))
-            if len(hit):
+    @cached_property
+    def ball_of(self) -> dict[int, tuple[int, float]]:
+        """Ball and radius of each shard."""
+        return {shard: (ball, radius) for (ball, _), (radius, shards, first) in self.shards.items() for shard in range(first, first + shards)}
+
+    @cached_property
+    def size(self) -> int:
+        """Shards of a part."""
+        return min(HELD, max(1, sum(n for _, n, _ in self.shards.values()) // PARTS))
+
+    def hit(self, shard: int, vectors: np.ndarray, limits: np.ndarray, factor: float) -> np.ndarray:
+        """Which of the vectors may find something within their limits in the ball of a shard of their dimension."""
+        ball, radius = self.ball_of[shard]
+        if ball < 0:
+            return np.full(len(vectors), True)
+        at, pivots = self.of[vectors.shape[1]]
+        d = distances(vectors, pivots[at == ball])[:, 0]
+        return within(np.maximum(d - radius, 0) * factor, limits)
+
+    def asked(self, vectors: np.ndarray, limits: np.ndarray, own: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Parts, and which of the vectors may find something within their limits there, outside their own shards."""
+        parts: dict[int, np.ndarray] = {}
+        for (_, dim), (_, shards, first) in self.shards.items():
+            if dim == vectors.shape[1]:
+                hit = self.hit(first, vectors, limits, factor)
                 for shard in range(first, first + shards):
-                    yield shard, hit
+                    parts[shard // self.size] = parts.get(shard // self.size, False) | hit & (own != shard)
+        for part, hit in parts.items():
+            if hit.any():
+                yield part, np.flatnonzero(hit)
 
 
 def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -163,25 +255,58 @@ def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(dim), at, b.column("_v").take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
 
 
-def _searched(trees: DataFrame, asks: DataFrame, k: int, factor: float) -> DataFrame:
-    """query_id, vec_id, score: what the blocks of queries find in the trees of their shards."""
+def _searched(rows: DataFrame, asks: DataFrame, k: int, factor: float, balls=None) -> DataFrame:
+    """query_id, vec_id, score: what queries find in their own shards or, given `balls`, in the others of the part.
+
+    Both have the columns of _ASK; `rows` have turn 0 and `asks`, a row for each part that a query is sent to, turn 1.
+    """
+
+    def answers(trees: dict[int, Tree], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for dim, at, vectors in _by_dim(b):
+            for s in range(0, len(at), BLOCK):
+                block, v = at[s : s + BLOCK], vectors[s : s + BLOCK]
+                ids, limits, own = (b.column(c).to_numpy()[block] for c in ("_id", "limit", "shard"))
+                for shard, tree in trees.items():
+                    if tree.vectors.shape[1] != dim:
+                        continue
+                    q = np.flatnonzero(own == shard if balls is None else (own != shard) & balls.value.hit(shard, v, limits, factor))
+                    if len(q):
+                        d, found = tree.search(ids[q], v[q], k, factor, limits[q])
+                        limits[q] = np.minimum(limits[q], d[:, -1])
+                        ok = np.isfinite(d)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], ok.sum(1))), pa.array(found[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, None
+        held, trees = [], {}  # batches of a part's rows until its first query, then the trees
         for b in batches:
-            for r in b.to_pylist():
-                ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
-                if r["turn"] == 0:
-                    at, tree = r["shard"], Tree(ids, v, np.frombuffer(r["nodes"], np.int64).reshape(-1, 5), np.frombuffer(r["bounds"]).reshape(-1, 4))
-                elif at == r["shard"]:
-                    d, found = tree.search(ids, v, k, factor, np.frombuffer(r["limits"]))
-                    ok = np.isfinite(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(found[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
-
-    both = trees.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "turn")
+            parts, turns = b.column("part").to_numpy(), b.column("turn").to_numpy()
+            ends = np.flatnonzero(np.diff(parts * 2 + turns, append=-1)) + 1
+            for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                piece = b.slice(start, end - start)
+                if turns[start] == 0:
+                    held, trees = [*(x for x in held if x.column("part")[0].as_py() == parts[start]), piece], {}
+                    continue
+                if held:
+                    trees = _trees(held) if held[0].column("part")[0].as_py() == parts[start] else {}
+                    held = []
+                yield from answers(trees, piece)
+
+    both = rows.unionByName(asks).repartition("part").sortWithinPartitions("part", "turn", "shard")
     return both.mapInArrow(trimming(run), "query_id long, vec_id long, score double")
 
 
+def _trees(batches: list[pa.RecordBatch]) -> dict[int, Tree]:
+    """The tree of each shard, whose vectors have one dimension."""
+    pieces: dict[int, list] = {}
+    for b in batches:
+        shards, ids = b.column("shard").to_numpy(), b.column("_id").to_numpy()
+        for _, at, v in _by_dim(b):
+            for shard in np.unique(shards[at]):
+                mine = shards[at] == shard
+                pieces.setdefault(int(shard), []).append((ids[at][mine], v[mine]))
+    return {shard: Tree.build(np.concatenate([i for i, _ in p]), np.concatenate([v for _, v in p])) for shard, p in pieces.items()}
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, column: str = "embedding", id_column: str = "vec_id") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of every row that `is_query` (a Column) holds for.
 
@@ -205,6 +330,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, colu
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ball, pa.int32()), pa.array(far)], names=[*b.schema.names, "ball", "far"])
 
     placed = written(rows.mapInArrow(trimming(place), "_id long, _v array<double>, dim int, ball int, far double"), "placed")
+    dropped(rows)
     first = 0
     for r in sorted(placed.groupBy("ball", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()):  # balls
         balls.shards[r["ball"], r["dim"]] = (r["radius"], -(-r["n"] // SHARD_ROWS), first)
@@ -212,47 +338,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = 1.0, colu
     known = spark.createDataFrame([(b, d, s, f) for (b, d), (_, s, f) in balls.shards.items()], "ball int, dim int, shards int, first long")
     dealt = placed.join(F.broadcast(known), ["ball", "dim"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("_id"), F.col("shards")))  # a row a ball
 
-    def build(group: pa.Table) -> pa.Table:
-        ids, dim = group["_id"].to_numpy(), group["dim"][0].as_py()
-        t = Tree.build(ids, group["_v"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim))
-        return pa.table({"shard": group["shard"][:1], "turn": pa.array([0], pa.int32()), "ids": [t.ids.tobytes()], "vectors": [np.ascontiguousarray(t.vectors).tobytes()], "nodes": [t.nodes.tobytes()], "bounds": [t.bounds.tobytes()], "limits": [b""], "dim": pa.array([dim], pa.int32())})
-
-    trees = written(dealt.select("shard", "_id", "_v", "dim").groupBy("shard").applyInArrow(build, _TREE), "trees")
+    part = F.floor(F.col("shard") / balls.size)
+    of_parts = dealt.select(part.alias("part"), F.lit(0).alias("turn"), "shard", "_id", "_v", "dim", F.lit(None).cast("double").alias("limit"))
     asked = written(dealt.where(is_query(F.col("_id"))).select("shard", "_id", "_v", "dim"), "asked")
     all_balls = spark.sparkContext.broadcast(balls)
 
-    def blocks(rows_of):
-        """Rows of _TREE from batches: `rows_of(batch)` gives (shard, dim, ids, vectors, limits) of queries."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for shard, dim, ids, v, limits in rows_of(b):
-                    for s in range(0, len(ids), BLOCK):
-                        part = slice(s, s + BLOCK)
-                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([1], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (ids[part], v[part])), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([limits[part].tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["shard", "turn", "ids", "vectors", "nodes", "bounds", "limits", "dim"])
-
-        return run
-
-    def own(b: pa.RecordBatch):
-        ids, shards = b.column("_id").to_numpy(), b.column("shard").to_numpy()
-        for dim, at, v in _by_dim(b):
-            for shard in np.unique(shards[at]):
-                mine = shards[at] == shard
-                yield int(shard), dim, ids[at][mine], v[mine], np.full(int(mine.sum()), np.inf)
-
-    def others(b: pa.RecordBatch):
-        ids, shards, limits = b.column("_id").to_numpy(), b.column("shard").to_numpy(), b.column("limit").to_numpy()
-        for dim, at, v in _by_dim(b):
-            for shard, hit in all_balls.value.asked(v, limits[at], factor):
-                hit = hit[shards[at][hit] != shard]
-                if len(hit):
-                    yield shard, dim, ids[at][hit], v[hit], limits[at][hit]
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            limits, own = b.column("limit").to_numpy(), b.column("shard").to_numpy()
+            for _, at, v in _by_dim(b):
+                for to, hit in all_balls.value.asked(v, limits[at], own[at], factor):
+                    sent = b.take(pa.array(at[hit]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), to)), pa.array(np.full(len(hit), 1), pa.int32()), *(sent.column(c) for c in ("shard", "_id", "_v", "dim", "limit"))], names=["part", "turn", "shard", "_id", "_v", "dim", "limit"])
 
-    near = written(_searched(trees, asked.mapInArrow(blocks(own), _TREE), k, factor), "near")
+    own = asked.select(part.alias("part"), F.lit(1).alias("turn"), "shard", "_id", "_v", "dim", F.lit(float("inf")).alias("limit"))
+    near = written(_searched(of_parts, own, k, factor), "near")
     once = asked.groupBy("_id").agg(F.count(F.lit(1)).alias("asked"))
     bound = near.groupBy(F.col("query_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most"))
     limit = F.when((F.col("asked") == 1) & (F.col("n") >= k), F.col("most")).otherwise(F.lit(float("inf")))  # no limit for repeated queries
     more = asked.join(once, "_id").join(bound, "_id", "left").select("shard", "_id", "_v", "dim", F.coalesce(limit, F.lit(float("inf"))).alias("limit"))
-    found = near.unionByName(_searched(trees, more.mapInArrow(blocks(others), _TREE), k, factor))
+    found = near.unionByName(_searched(of_parts, more.mapInArrow(trimming(others), _ASK), k, factor, all_balls))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

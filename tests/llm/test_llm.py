@@ -409,6 +409,48 @@ def test_nearest_over_many_balls(spark, monkeypatch):
             assert all([i for _, i in got[q]] == [i for _, i in want[q]] for q in want)
 
 
+def test_leaves_are_screened_in_blocks(monkeypatch):
+    """Of vectors without structure few pairs are measured from differences, and a node is not seen query by query."""
+    pairs, calls = [], []
+    distances, paired = vptree.distances, getattr(vptree, "paired", None)
+    monkeypatch.setattr(vptree, "distances", lambda a, b: (calls.append(1), pairs.append(len(a) * len(b)), distances(a, b))[-1])
+    monkeypatch.setattr(vptree, "paired", lambda a, i, b, j: (pairs.append(len(i)), paired(a, i, b, j))[-1], raising=False)
+    g = np.random.default_rng(8)
+    v = g.normal(size=(4000, 32))
+    tree = vptree.Tree.build(np.arange(4000), v)
+    pairs.clear(), calls.clear()
+    d, found = tree.search(np.arange(0, 4000, 20), v[::20], 10, 1.0)
+    assert sum(pairs) < 0.1 * 200 * 4000 and len(calls) <= 3 * len(tree.nodes)
+    want = brute.nearest(list(range(4000)), v, range(0, 4000, 20))
+    assert all([i for _, i in want[q]] == list(found[q // 20]) for q in want)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5, 1e-30])
+def test_nearest_over_parts_of_several_shards(spark, monkeypatch, shift):
+    """Parts of many shards over several batches: copies, repeated ids, two dimensions, vectors far from zero or tiny."""
+    for name, value in (("SHARD_ROWS", 16), ("PARTS", 3), ("BLOCK", 7)):
+        monkeypatch.setattr(vptree, name, value, raising=False)
+    g = np.random.default_rng(9)
+    v = g.normal(size=(500, 5))
+    v[::4] = v[3]
+    v = v * shift if 0 < shift < 1 else v + shift
+    data = [(i, [float(x) for x in y]) for i, y in enumerate(v)] + [(i, [float(x) for x in y[:3]]) for i, y in enumerate(v[:60], 1000)]
+    data += [data[7]] * 2  # candidates that count each
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {}
+        for r in vptree.nearest(d, lambda i: i % 10 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {i for i, _ in data if i % 10 == 0}
+    for q, mine in got.items():
+        x = np.array(dict(data)[q])
+        want = sorted((float(np.sqrt(((np.array(y) - x) ** 2).sum())), i) for i, y in data if i != q and len(y) == len(x))[:10]
+        assert mine == want
+
+
 def test_tool_calls(spark):
     call = '{"tool_calls":[{"name":"w","id":"c1","arguments":{"b":1,"a":"x"}},{"id":"c2","name":"w","arguments":{"a":2},"depends_on":["c1"]}],"content":"hi \\"q\\""}'
     turns = [(1, 0, "tool", '{"content":{"z":1,"a":[1,2]},"tool_call_id":"c2"}'), (1, 1, "user", "é/\n"), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"c1","content":"ok"}'), (1, 4, "tool", '{"tool_call_id":"zz"}'), (2, 0, None, None), (None, None, "assistant", call), (3, 0, "assistant", "{broken tool_calls"), (3, 1, "assistant", '{"tool_calls":[{"id":"a","name":"u","depends_on":["b"]},{"id":"b","name":"u","depends_on":["a"]}]}')]
