@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, in_blocks, in_use, per_text, row_of, text_or_empty, trimming, written
+from .shared import dropped, in_blocks, in_use, mapped, per_text, row_of, text_or_empty, written
 
 WORDS, SHARE = 5, 75
 #: Least and most counters of the sketch and bits of a membership map (as powers of two), parts in which both travel,
@@ -187,7 +187,7 @@ def _heavy(rows: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarr
                 counts[np.cumsum(unplaned(raw, n, np.uint32), dtype=np.int64)] += unplaned(raw[4 * n :], n, np.uint32)
         yield from done()
 
-    got = sorted(rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(trimming(run), "part int, at binary, level binary").collect())
+    got = sorted(mapped(rows.select("part", "data").repartition("part").sortWithinPartitions("part"), run, "part int, at binary, level binary").collect())
     join = lambda k, dtype: np.concatenate([np.frombuffer(r[k], dtype) for r in got] or [np.empty(0, dtype)])
     return join("at", np.uint32), join("level", np.uint8)
 
@@ -221,7 +221,7 @@ def _first_pass(docs: DataFrame, words: int, bits: int) -> DataFrame:
         if size:
             yield counted()
 
-    return written(rows.mapInArrow(trimming(run), "doc_id long, n long, s0 long, s1 long, k0 long, k1 long, part int, data binary"), "jaccard-pass")
+    return written(mapped(rows, run, "doc_id long, n long, s0 long, s1 long, k0 long, k1 long, part int, data binary"), "jaccard-pass")
 
 
 def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "data"])
 
     bits = need.select(bit(F.col("id")).alias("bit")).distinct().select(F.floor(F.col("bit") / each).cast("int").alias("part"), "bit")
-    got = {r["part"]: r["data"] for r in bits.repartition("part").sortWithinPartitions("part").mapInArrow(trimming(fill), "part int, data binary").collect()}
+    got = {r["part"]: r["data"] for r in mapped(bits.repartition("part").sortWithinPartitions("part"), fill, "part int, data binary").collect()}
     sent = spark.sparkContext.broadcast(b"".join(got.get(p, bytes(each // 8)) for p in range(PARTS)))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), bit(F.col("doc_id").cast("long")).alias("bit"), text_or_empty(docs).alias("t"))
 
@@ -266,7 +266,7 @@ def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
                 digests = [pa.array(x, pa.int64()) for x in zip(*map(digest, sets))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *digests, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s0", "s1", "set"])
 
-    return rows.mapInArrow(trimming(run), "id long, s0 long, s1 long, set binary").join(F.broadcast(need) if needed <= SENT else need, ["id", "s0", "s1"])
+    return mapped(rows, run, "id long, s0 long, s1 long, set binary").join(F.broadcast(need) if needed <= SENT else need, ["id", "s0", "s1"])
 
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
@@ -374,7 +374,7 @@ def _packed(listed: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield done()
 
-    return listed.select("id", "cluster", "n", "rank", "light", "tokens").mapInArrow(trimming(run), "bucket long, data binary")
+    return mapped(listed.select("id", "cluster", "n", "rank", "light", "tokens"), run, "bucket long, data binary")
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -494,7 +494,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
                     held[k].append(x[:, part == k])
         yield from done()
 
-    shared = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimming(run), "query long, cluster long, n long, all long, least long, rest long, both long, early long")
+    shared = mapped(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "query long, cluster long, n long, all long, least long, rest long, both long, early long")
     pairs = shared.groupBy("query", "cluster").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), *(F.min(c).alias(c) for c in ("least", "rest", "both")), F.max("early").alias("early"))
     return pairs.where("n >= least and all + rest >= both and early > 0").select("query", "cluster")
 
@@ -553,7 +553,7 @@ def _opened_links(docs: DataFrame, asked: DataFrame, clusters: DataFrame, words:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    links = written(dealt.mapInArrow(trimming(run), "a long, b long"), "jaccard-opened")
+    links = written(mapped(dealt, run, "a long, b long"), "jaccard-opened")
     dropped(targets, rows)
     return links
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,7 @@ from pyspark.sql.types import StructType
 
 from .bpe import BYTE_VOCABULARY
 from .pretoken import ByteCutter
-from .shared import in_blocks, in_use, text_or_empty, trimming, written
-from .token_counts import encoder
+from .shared import in_blocks, in_use, mapped, text_or_empty, written
 
 #: Ids of a sequence, groups of large lengths, share of a sequence up to which a length is small, columns generated at most.
 CAPACITY, GROUPS, SMALL, ROUNDS = 2048, 768, 1 / 3, 4000
@@ -55,7 +55,8 @@ class PieceCoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cut = ByteCutter(public_tokenizers.PATTERN)
-        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in encoder(public_tokenizers.path(BYTE_VOCABULARY)).get_added_tokens_decoder().items()}
+        with open(public_tokenizers.path(BYTE_VOCABULARY), encoding="utf-8") as f:  # its library would hold the vocabulary once more
+            self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def __missing__(self, word: str) -> bytes:
@@ -108,7 +109,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 nth, piece, start, length, crc = cols
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64()), b.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(2).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], schema=arrow)
 
-    return rows.mapInArrow(trimming(work), schema)
+    return mapped(rows, work, schema)
 
 
 # ---- the plan, on counts of lengths

@@ -84,6 +84,25 @@ def trimming(run):
     return trimmed
 
 
+#: Bytes of rows that a worker is handed at once: Spark's own bound of 64 MiB is held there several times over, as a batch,
+#: as Python's texts and as results, and by the JVM beside it.  One row may be larger.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands workers at most `BATCH_BYTES` at once; a smaller setting stays."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """`run` over batches of bounded size, in workers that give free memory back when it ends."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(trimming(run), schema)
+
+
 _IN_USE: list = []
 
 
@@ -129,4 +148,4 @@ def per_text(docs: DataFrame, run: Callable[[list[str]], dict[str, list]], colum
                 made = [pa.array(out[f.name], type=f.type) for f in list(arrow)[len(keep) :]]
                 yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(kept, arrow)] + made, schema=arrow)
 
-    return rows.mapInArrow(trimming(work), schema)
+    return mapped(rows, work, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, in_blocks, in_use, per_text, row_of, text_or_empty, trimming, written
+from .shared import fold, in_blocks, in_use, mapped, per_text, row_of, text_or_empty, written
 
 #: Bound of the labelled sample, hashed slots, factors, rows a term needs in the sample, letters of a word's stems.
 TRAIN_ROWS, SLOTS, FACTORS, LEAST_ROWS, STEMS = 16_000, 1 << 20, 4, 4, (4, 5, 6)
@@ -144,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         used = np.flatnonzero((m["w"] != 0) | (m["v"] != 0).any(1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (used, m["w"][used], m["v"][used], np.float32(m["bias"]).reshape(1))], names=["u", "w", "v", "b"])
 
-    sample = written(rows.mapInArrow(trimming(terms), "y int, t binary"), "toxic-sample")  # all tasks read; one then takes what is bounded
-    got = written(sample.coalesce(1).mapInArrow(trimming(learn), "u binary, w binary, v binary, b binary"), "toxic-model").first()
+    sample = written(mapped(rows, terms, "y int, t binary"), "toxic-sample")  # all tasks read; one then takes what is bounded
+    got = written(mapped(sample.coalesce(1), learn, "u binary, w binary, v binary, b binary"), "toxic-model").first()
     used = np.frombuffer(got["u"], np.int32)
     w, v = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
     w[used], v[used] = np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(-1, FACTORS)
