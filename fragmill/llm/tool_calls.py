@@ -5,13 +5,15 @@ whose text is an object with `tool_call_id` is a result.  Calls and results are
 identifier after each side was reduced to its first row per identifier, so a repeated identifier cannot flood a task.
 Order is topological over turns: a turn comes after the turns whose calls its own depend on, a result after the turn that
 made its call, otherwise turns keep their order; calls of one turn stand in their order of dependency.  It is given as
-sort keys, which need no window over a conversation.  Dependencies are followed until nothing moves, a round for each
-link of the longest chain that runs against the turns; those inside a cycle are found by reachability and left out.  Arguments are held against the tools'
-schemas; messages are canonical JSON: keys sorted at every level, no spaces.
+sort keys, which need no window over a conversation.  Dependencies are followed by ways that grow with every round, so a
+chain takes a round for each doubling of its length; those inside a cycle are found by reachability and left out.
+Arguments are held against the tools' schemas; messages are canonical JSON: keys sorted at every level, no spaces.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from .shared import dropped, written
 
 TOOLS = "tool string, argument string, type string, required boolean"
 
+#: A turn's ways times those of a turn they lead to, up to which they are followed at once; more while a round's sum allows.
+WAYS, WAYS_A_ROUND = 128, 1 << 20
+
 
 def canonical(value: Column) -> Column:
     """A variant as JSON with sorted keys."""
@@ -78,36 +83,72 @@ def _in_cycles(needs: DataFrame) -> DataFrame:
     return needs.join(back, ["conv_id", "turn", "needed"], "left_semi")
 
 
+def _followed(needs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """conv_id, turn, at, step of the turns of needs (conv_id, turn, needed; distinct) in conversations without a cycle,
+    and conv_id, turn of turns of the others: all that reach a cycle are among them.
+
+    A turn keeps its latest place so far and ways on, each to a turn that lies `links` dependencies off.  In a round a
+    way takes over the place of the turn it leads to and goes on by that turn's ways: none, it ends; one, it gets longer,
+    so chains and trees take a round for each doubling of their depth; several, as long as `WAYS` allows, else it stays,
+    and the turns without ways left shorten it.  Of ways to one turn the longest counts.  No turn has more ways than its
+    dependencies or that bound.
+    """
+    ways = needs.select("conv_id", "turn", F.struct("needed", F.lit(1).alias("links")).alias("way")).unionByName(needs.select("conv_id", F.col("needed").alias("turn")), allowMissingColumns=True)
+    # a path without a cycle has no more links than its conversation has turns with dependencies
+    most = needs.groupBy("conv_id").agg(F.countDistinct("turn").alias("most"))
+    now = ways.groupBy("conv_id", "turn").agg(F.collect_list("way").alias("ways")).join(most, "conv_id")
+    now = written(now.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"), "ways", "most"), "places")
+    n_ways = F.size("ways")
+    cycle = F.exists("ways", lambda w: (w["needed"] == F.col("turn")) | (w["links"] > F.col("most"))) | (F.col("step") > 2 * F.col("most"))
+    in_cycles = []
+    while True:
+        n, any_cycle = now.agg(F.count_if(n_ways > 0), F.bool_or(cycle)).first()
+        if any_cycle:
+            held, found = now, now.where(cycle).select("conv_id").distinct()
+            in_cycles.append(written(now.where(n_ways > 0).join(found, "conv_id", "left_semi").select("conv_id", "turn"), "cycles"))
+            now = written(now.join(found, "conv_id", "left_anti"), "places")
+            dropped(held)
+            continue
+        if not n:
+            break
+        most_ways = max(WAYS, WAYS_A_ROUND // n)
+        way = now.select("conv_id", "turn", n_ways.cast("long").alias("own"), F.explode("ways").alias("way")).select("conv_id", "turn", "own", "way.needed", "way.links")
+        known = now.select("conv_id", F.col("turn").alias("needed"), "at", "step", n_ways.alias("n"), F.when(n_ways <= most_ways, F.col("ways")).alias("further"))
+        on = F.transform("further", lambda w: F.struct(w["needed"].alias("needed"), (w["links"] + F.col("links")).alias("links")))
+        on = F.when((F.col("n") < 2) | (F.col("own") * F.col("n") <= most_ways), on).otherwise(F.array(F.struct("needed", "links")))
+        after = F.struct("at", (F.col("step") + 2 * F.col("links")).alias("step"))
+        seen = way.join(known, ["conv_id", "needed"]).groupBy("conv_id", "turn").agg(F.max(after).alias("after"), F.array_sort(F.flatten(F.collect_list(on))).alias("on"))
+        longest = F.filter("on", lambda w, i: F.coalesce(F.get("on", i + 1)["needed"] != w["needed"], F.lit(True)))
+        own = F.struct("at", "step")
+        place = F.greatest(own, F.coalesce("after", own))
+        held, now = now, now.join(seen, ["conv_id", "turn"], "left").select("conv_id", "turn", place.alias("place"), F.coalesce(longest, "ways").alias("ways"), "most")
+        now = written(now.select("conv_id", "turn", "place.at", "place.step", "ways", "most"), "places")
+        dropped(held)
+    return now.select("conv_id", "turn", "at", "step"), reduce(DataFrame.unionByName, in_cycles) if in_cycles else None
+
+
+def _among(needs: DataFrame, turns: DataFrame) -> DataFrame:
+    """The rows of needs (conv_id, turn, needed) between two of `turns`."""
+    return needs.join(turns, ["conv_id", "turn"], "left_semi").join(turns.withColumnRenamed("turn", "needed"), ["conv_id", "needed"], "left_semi").select("conv_id", "turn", "needed")
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, turn, at, step: the place of a call's turn, which all calls of the turn share."""
     calls = written(calls, "calls")
     made = calls.select("conv_id", F.col("call_id").alias("needed_id"), F.col("turn").alias("needed"))
     needs = calls.select("conv_id", "turn", F.explode("depends_on").alias("needed_id")).join(made, ["conv_id", "needed_id"]).where("turn <> needed")
     needs = written(needs.select("conv_id", "turn", "needed").distinct(), "needs")
-    if needs.where("needed > turn").isEmpty():
+    against = needs.where("needed > turn").select("conv_id").distinct()
+    if against.isEmpty():
         return calls.select("conv_id", "call_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"))
-    now = written(calls.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("step"), F.lit(True).alias("moved")).distinct(), "places")
-    own = F.struct("at", "step")
-    while True:
-        # only what moved in the last round can move others
-        known = now.where("moved").select("conv_id", F.col("turn").alias("needed"), F.struct("at", (F.col("step") + 2).alias("step")).alias("after"))
-        latest = needs.join(known, ["conv_id", "needed"]).groupBy("conv_id", "turn").agg(F.max("after").alias("after"))
-        held = now
-        moved = now.drop("moved").join(latest, ["conv_id", "turn"], "left").withColumn("next", F.greatest(own, F.coalesce("after", own)))
-        moved = written(moved.select("conv_id", "turn", "next.at", "next.step", (F.col("next") != own).alias("moved")), "places")
-        # A path without a cycle has no more links than its conversation has moved turns.
-        state = moved.groupBy("conv_id").agg(F.bool_or("moved").alias("moved"), (F.max("step") > 2 * F.count_if(F.col("step") > 0)).alias("cycle"))
-        any_moved, any_cycle = state.agg(F.bool_or("moved"), F.bool_or("cycle")).first()
-        now = moved
-        dropped(held)
-        if any_cycle:
-            turns = moved.where("step > 0").join(state.where("cycle").select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn")
-            inner = needs.join(turns, ["conv_id", "turn"], "left_semi").join(turns.withColumnRenamed("turn", "needed"), ["conv_id", "needed"], "left_semi")
-            needs = written(needs.join(_in_cycles(written(inner.select("conv_id", "turn", "needed"), "reach")), ["conv_id", "turn", "needed"], "left_anti"), "needs")
-            again = now.join(state.where("cycle").select("conv_id", "cycle"), "conv_id", "left")
-            now = written(again.select("conv_id", "turn", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("cycle"), F.lit(0)).otherwise(F.col("step")).alias("step"), (F.col("moved") | F.coalesce("cycle", F.lit(False))).alias("moved")), "places")
-        elif not any_moved:
-            return calls.join(now, ["conv_id", "turn"], "left").select("conv_id", "call_id", "turn", F.coalesce("at", "turn").alias("at"), F.coalesce("step", F.lit(0)).alias("step"))
+    places, turns = _followed(needs.join(against, "conv_id", "left_semi"))
+    if turns is not None:
+        inner = written(_among(needs, turns), "inner")
+        _, behind = _followed(inner.select("conv_id", F.col("needed").alias("turn"), F.col("turn").alias("needed")))
+        cycles = _in_cycles(written(_among(inner, behind), "reach"))
+        rest = needs.join(turns.select("conv_id").distinct(), "conv_id", "left_semi").join(cycles, ["conv_id", "turn", "needed"], "left_anti")
+        places = places.unionByName(_followed(written(rest, "needs"))[0])
+    return calls.join(places, ["conv_id", "turn"], "left").select("conv_id", "call_id", "turn", F.coalesce("at", "turn").alias("at"), F.coalesce("step", F.lit(0)).alias("step"))
 
 
 def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:

@@ -511,6 +511,38 @@ def test_random_orders_against_plain_following(spark):
     assert got == want
 
 
+def test_long_dependencies_take_few_tables(spark, monkeypatch):
+    made, write = [], tool_calls.written
+    monkeypatch.setattr(tool_calls, "written", lambda df, what: made.append(what) or write(df, what))
+    shapes = {1: lambda t: [t + 1], 2: lambda t: [t + 1, t + 2], 3: lambda t: [2 * t + 1, 2 * t + 2], 4: lambda t: [t + 1, 119]}
+    needs = {(c, t): [n for n in shape(t) if 0 <= n < 120 and n != t] for c, shape in shapes.items() for t in range(120)}
+    turns = [(c, t, "assistant", calling((f"c{t}", *(f"c{n}" for n in ns)))) for (c, t), ns in needs.items()]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = tool_calls.format_chats(t, spark.createDataFrame([], tool_calls.TOOLS))
+    assert len(made) < 30  # a table a round; chains of 119 dependencies
+    got = {(x["conv_id"], x["turn"]): (x["order_turn"], x["order_step"]) for x in out.collect()}
+    assert got == {(c, i): p for c in shapes for i, p in placed({i: needs[c, i] for i in range(120)}, range(120)).items()}
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_random_cycles_against_plain_following(spark, monkeypatch, few):
+    if few:  # ways are not followed past a branch
+        monkeypatch.setattr(tool_calls, "WAYS", 1)
+        monkeypatch.setattr(tool_calls, "WAYS_A_ROUND", 1)
+    r, turns, want = random.Random(5), [], {}
+    for c in range(40):
+        size, links = r.randrange(2, 14), r.choice([0.5, 1, 1.5, 2.5])
+        needs = {t: {n for n in range(size) if n != t and r.random() < links / size} for t in range(size)}
+        reach = {t: set(ns) for t, ns in needs.items()}
+        for _ in range(size):
+            reach = {t: ns.union(*(reach[n] for n in ns)) for t, ns in reach.items()}
+        turns += [(c, t, "assistant", calling((f"c{t}", *(f"c{n}" for n in needs[t])))) for t in range(size)]
+        want |= {(c, t): p for t, p in placed({t: [n for n in ns if t not in reach[n]] for t, ns in needs.items()}, range(size)).items()}
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(x["conv_id"], x["turn"]): (x["order_turn"], x["order_step"]) for x in tool_calls.format_chats(t, spark.createDataFrame([], tool_calls.TOOLS)).collect()}
+    assert got == want
+
+
 def test_queries_and_pipeline(spark, sf_dir):
     import corpus_pipeline
     from fragmill.llm import queries
